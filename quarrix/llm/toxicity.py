@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+|[!?*@#$%&]+")
-PREFIXES = (4, 5)  # lengths of the beginnings that are terms besides the word
+PREFIXES = (4, 5, 6)  # lengths of the beginnings that are terms besides the word
 
 
 class _TermIds(dict):
@@ -50,7 +50,7 @@ class FactorizationMachine:
     bias: float
     weight: np.ndarray
     factors: np.ndarray
-    scale: np.ndarray  # what a term counts for: its inverse document frequency
+    scale: np.ndarray  # what a term counts for: 0 if the sample shows no association with the label
 
     @property
     def bits(self) -> int:
@@ -73,8 +73,20 @@ class FactorizationMachine:
         return self.scale[rows]
 
 
-def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18, rank: int = 8, epochs: int = 12, rate: float = 0.1, penalty: float = 2e-5, batch: int = 128, seed: int = 7) -> FactorizationMachine:
-    """Adaptive-gradient descent on the logistic loss, both labels weighing alike up to a factor of 3.
+def association(df: np.ndarray, df_positive: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """Log-likelihood ratio of each term's two-by-two table with the label."""
+    a, b = df_positive, df - df_positive
+    c, d = positive - a, (n - positive) - b
+
+    def part(observed, row, column):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(observed > 0, observed * np.log(observed * n / np.maximum(row * column, 1e-9)), 0.0)
+
+    return 2 * (part(a, df, positive) + part(b, df, n - positive) + part(c, n - df, positive) + part(d, n - df, n - positive))
+
+
+def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18, rank: int = 8, epochs: int = 8, rate: float = 0.1, penalty: float = 2e-5, batch: int = 128, seed: int = 7, min_association: float = 12.0) -> FactorizationMachine:
+    """Adaptive-gradient descent on the logistic loss, both labels weighing alike up to a factor of 5.
 
     Without rows of both labels, the model is a constant: the smoothed share of
     label 1, or a score under 0.5 without any row.
@@ -83,13 +95,16 @@ def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18,
     rng = np.random.default_rng(seed)
     n, positive = len(labels), int(labels.sum())
     df = np.bincount(rows, minlength=width)
-    # A term of a single text teaches nothing about others.
-    scale = np.where(df >= 2, np.log((1 + n) / (1 + df)) / max(1.0, np.log(1 + n)), 0.0)
+    # Terms that tell nothing about the label would only let the model learn its rows by heart.
+    text_of = np.repeat(np.arange(n), sizes)
+    scale = (association(df, np.bincount(rows, labels[text_of], width), n, positive) >= min_association).astype(np.float64)
+    kept = scale[rows] > 0
+    rows, sizes = rows[kept], np.bincount(text_of[kept], minlength=n)
     model = FactorizationMachine(float(np.log((positive + 0.5) / (n - positive + 1.5))), np.zeros(width), rng.normal(0, 0.01, (width, rank)), scale)
     if not 0 < positive < n:
         model.factors[:] = 0
         return model
-    weigh = np.where(labels == 1, min(3.0, (n - positive) / positive), 1.0)
+    weigh = np.where(labels == 1, min(5.0, (n - positive) / positive), 1.0)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     seen_w, seen_v, seen_b = np.full(width, 1e-6), np.full((width, rank), 1e-6), 1e-6
     for _ in range(epochs):
