@@ -106,10 +106,11 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
-    """For each row: set size, hashes of set and prefix, and the prefix."""
+    """For each row: set size, share of rare shingles in thousandths, hashes of set and prefix, and the prefix."""
     spark = texts.sparkSession
     counts = shingle_counts(texts, n, bits)
-    common = max(8, 4 * int(counts.mean()))
+    # Beyond what chance puts into a counter, whatever the number of documents.
+    common = int(counts.mean() + 6 * counts.mean() ** 0.5) + 4
     # 0 for rare shingles, else the binary order of magnitude beyond "common".
     classes = np.where(counts <= common, 0, np.floor(np.log2(np.maximum(counts, 1) / common)) + 1).astype(np.uint8)
     sent = spark.sparkContext.broadcast(classes)  # 2 ** bits bytes, whatever the input
@@ -123,14 +124,15 @@ def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFram
                 for text in batch.column(1).slice(low, 1000).to_pylist():
                     s = shingles(text, n)
                     size = len(s)
-                    prefix = s[np.argsort(of[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")][: size - -(-num * size // den) + 1] if size else s
-                    rows.append((size, *_hash128(s), *_hash128(prefix)))
+                    kinds = of[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    prefix = s[np.argsort(kinds, kind="stable")][: size - -(-num * size // den) + 1] if size else s
+                    rows.append((size, 1000 * int((kinds == 0).sum()) // max(1, size), *_hash128(s), *_hash128(prefix)))
                     prefixes.append(prefix.view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), lists], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), lists], names=["doc_id", "n", "rare", "s1", "s2", "p1", "p2", "prefix"])
 
-    return staged(texts.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "signed")
+    return staged(texts.mapInArrow(sign, "doc_id long, n long, rare long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "signed")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -179,7 +181,7 @@ def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where((F.col("c") + F.greatest(*behind)) * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
-def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Documents link when ``den * intersection >= num * union`` of their shingle
@@ -197,9 +199,10 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     groups = nodes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     members = staged(nodes.join(groups.hint("merge"), ["n", "p1", "p2"]).select("rep", "gid", "n", "s1"), "members")
     index = members.where("rep = gid").select(F.col("gid").alias("doc_id"), "s1", "n")
-    postings = signed.select("doc_id", "s1", "n", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("lead.gid").alias("y"), F.col("lead.n").alias("ny"))
-    blocks = staged(postings.join(leaders.hint("merge"), "token"), "blocks")
+    postings = signed.select("doc_id", "s1", "n", "rare", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "n", "rare", F.explode("prefix").alias("token"))
+    # The least share of rare shingles leads: edits add rare ones, so an original has fewer than its copies.
+    leaders = postings.groupBy("token").agg(F.min(F.struct("rare", "gid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("lead.gid").alias("y"), F.col("lead.n").alias("ny"))
+    blocks = staged(postings.drop("rare").join(leaders.hint("merge"), "token"), "blocks")
 
     near_size = F.expr(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
     star = _likely(blocks.where("gid <> y").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "y", "ny").where(near_size), num, den)
