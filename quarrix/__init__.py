@@ -1,0 +1,3 @@
+"""Hybrid retrieval over code and text on Spark."""
+
+__version__ = "0.1.0"
