@@ -25,6 +25,8 @@ from .components import components
 from .scratch import staged
 
 _BLOCK = 1 << 12  # counters in a row of the sketch
+_PART = 2048  # groups of a block that one task compares with as many others
+_LONG = 3000  # shingles; the prefixes of larger sets are not sent along
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,6 +183,73 @@ def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where((F.col("c") + F.greatest(*behind)) * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
+def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Group pairs ``(x, y)`` of unlike labels, at most one in the leader's, that can still be similar.
+
+    A block's rows come with their prefixes, so pairs are counted in place and
+    only likely ones leave the task, each from the block of the first shingle
+    that its two prefixes share.  A block of many groups is dealt to pairs of
+    parts of bounded size.
+    """
+    sizes = still.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / _PART).alias("parts"), F.max(F.col("outside").cast("int")).alias("any")).where("any = 1").drop("any")
+    rows = still.join(sizes.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")))
+    rows = rows.join(prefixes.dropDuplicates(["gid"]).hint("merge"), "gid")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = rows.where("outside").select("token", F.col("part").alias("a"), every.alias("b"), F.lit(True).alias("asks"), "gid", "n", "label", "outside", "prefix")
+    right = rows.select("token", every.alias("a"), F.col("part").alias("b"), F.lit(False).alias("asks"), "gid", "n", "label", "outside", "prefix")
+
+    def pairs(key: tuple, block: list[tuple]) -> list[tuple[int, int]]:
+        """``block`` has (asks, gid, n, label, outside, prefix)."""
+        asking, asked = [r for r in block if r[0]], [r for r in block if not r[0]]
+        if not asking or not asked:
+            return []
+        tokens, inverse = np.unique(np.concatenate([r[5] for r in asked]), return_inverse=True)
+        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])[np.argsort(inverse, kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(tokens)))])
+        n = np.array([r[2] for r in asked])
+        gids = np.array([r[1] for r in asked])
+        labels = np.array([-1 if r[3] is None else 1 for r in asked])
+        label = np.array([r[3] or 0 for r in asked])
+        outside = np.array([r[4] for r in asked])
+        found = []
+        for _, x, nx, lx, _, prefix in asking:
+            at = np.searchsorted(tokens, prefix)
+            at = at[tokens[np.minimum(at, len(tokens) - 1)] == prefix]
+            common = np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
+            behind = np.maximum(-(-num * nx // den), -(-num * n // den)) - 1
+            fits = (common + behind) * (num + den) >= num * (nx + n)
+            fits &= (den * np.minimum(nx, n) >= num * np.maximum(nx, n)) & (np.minimum(nx, n) <= _LONG) & (gids != x) & ((x > gids) | ~outside)
+            if lx is not None:
+                fits &= (labels < 0) | (label != lx)
+            for k in np.flatnonzero(fits).tolist():
+                theirs = set(asked[k][5].tolist())
+                if next((t for t in prefix.tolist() if t in theirs), None) == key[0]:
+                    found.append((x, int(gids[k])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["x", "y"])
+
+        now, block = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            lists = batch.column("prefix")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+            for k, (token, a, b, *rest) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)):
+                if (token, a, b) != now:
+                    if now is not None:
+                        found += pairs(now, block)
+                    now, block = (token, a, b), []
+                block.append((*rest, flat[ends[k] : ends[k + 1]]))
+            yield out(found)
+        if now is not None:
+            yield out(pairs(now, block))
+
+    dealt = left.unionAll(right).repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
+    return dealt.mapInArrow(run, "x long, y long")
+
+
 def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -218,11 +287,15 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("open"), F.min_by("label", "gid").alias("lead")).where("open OR lo <> hi").select("token", "lead")
     still = staged(rows.join(mixed.hint("merge"), "token"), "mixed")
     # Of two groups in different components, at least one is not in the block leader's.
-    others = still.where("label IS NULL OR lead IS NULL OR label <> lead").select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    met = others.join(still.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("lead").alias("ld")).hint("merge"), "token")
+    still = still.withColumn("outside", F.expr("label IS NULL OR lead IS NULL OR label <> lead"))
+    long = still.where(F.col("n") > _LONG)
+    others = long.where("outside").select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    met = others.join(long.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("outside").alias("oy")).hint("merge"), "token")
     # Pairs of two such groups meet twice; the one with x > y stays.
-    met = met.where(near_size).where("x <> y AND (lx IS NULL OR ly IS NULL OR lx <> ly) AND (x > y OR NOT (ly IS NULL OR ld IS NULL OR ly <> ld))")
-    pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
+    met = met.where(near_size).where("x <> y AND (lx IS NULL OR ly IS NULL OR lx <> ly) AND (x > y OR NOT oy)")
+    prefixes = signed.select("doc_id", "s1", "n", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "prefix")
+    pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
+    pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     own = labelled.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("label").alias("la"))
     theirs = labelled.select(F.col("gid").alias("y"), F.col("rep").alias("b"), F.col("label").alias("lb"))
     rest = pairs.join(own, "x").join(theirs, "y").where("la <> lb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
