@@ -26,6 +26,7 @@ from .scratch import staged
 
 _BLOCK = 1 << 12  # counters in a row of the sketch
 _PART = 2048  # groups of a block that one task compares with as many others
+_DENSE = 4_000_000  # cells of a block's table of groups and shingles
 _LONG = 3000  # shingles; the prefixes of larger sets are not sent along
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,7 +205,16 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
         if not asking or not asked:
             return []
         tokens, inverse = np.unique(np.concatenate([r[5] for r in asked]), return_inverse=True)
-        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])[np.argsort(inverse, kind="stable")]
+        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])
+        asks = [np.searchsorted(tokens, r[5]) for r in asking]
+        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[5]] for at, r in zip(asks, asking, strict=True)]
+        table = None
+        if (len(asking) + len(asked)) * len(tokens) <= _DENSE:
+            has, wants = np.zeros((len(asked), len(tokens)), np.float32), np.zeros((len(asking), len(tokens)), np.float32)
+            has[owner, inverse] = 1
+            wants[np.repeat(np.arange(len(asking)), [len(at) for at in asks]), np.concatenate(asks)] = 1
+            table = (wants @ has.T).astype(np.int64)
+        owner = owner[np.argsort(inverse, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(tokens)))])
         n = np.array([r[2] for r in asked])
         gids = np.array([r[1] for r in asked])
@@ -212,10 +222,8 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
         label = np.array([r[3] or 0 for r in asked])
         outside = np.array([r[4] for r in asked])
         found = []
-        for _, x, nx, lx, _, prefix in asking:
-            at = np.searchsorted(tokens, prefix)
-            at = at[tokens[np.minimum(at, len(tokens) - 1)] == prefix]
-            common = np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
+        for row, (at, (_, x, nx, lx, _, prefix)) in enumerate(zip(asks, asking, strict=True)):
+            common = table[row] if table is not None else np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
             behind = np.maximum(-(-num * nx // den), -(-num * n // den)) - 1
             fits = (common + behind) * (num + den) >= num * (nx + n)
             fits &= (den * np.minimum(nx, n) >= num * np.maximum(nx, n)) & (np.minimum(nx, n) <= _LONG) & (gids != x) & ((x > gids) | ~outside)

@@ -20,8 +20,9 @@ def family(rng, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize(("seed", "long", "part"), [(1, 3000, 2048), (2, 3000, 4), (3, 60, 2048)])
-def test_families_passages_and_edges(spark, monkeypatch, seed, long, part):
+@pytest.mark.parametrize(("seed", "long", "part", "dense"), [(1, 3000, 2048, 4_000_000), (2, 3000, 4, 0), (3, 60, 2048, 4_000_000)])
+def test_families_passages_and_edges(spark, monkeypatch, seed, long, part, dense):
+    monkeypatch.setattr(ngram_join, "_DENSE", dense)
     monkeypatch.setattr(ngram_join, "_LONG", long)
     monkeypatch.setattr(ngram_join, "_PART", part)
     rng = random.Random(seed)
