@@ -13,7 +13,6 @@ from . import chat, line_dedup, ngram_join, order_minhash, packing, quality, scr
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
 PROBE = "</s>[INST] ok [/INST]"
-ARCHIVE_BYTES = 16 << 20  # of payload in an archive
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +48,9 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = warc.with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet"), 100)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    dealt = scratch.staged(pages.repartition(max(1, -(-total // ARCHIVE_BYTES)), "page_id"), "pages")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch.new_path(spark, "archives")
-    warc.write_archives(dealt, path)
+    warc.write_archives(warc.with_revisits(pages, 100), path, warc.sample_dictionary(pages))
     return warc.read_archives(spark, path)
 
 

@@ -128,16 +128,20 @@ def with_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return rows.withColumn("digest", digest).join(refs.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, dictionary_bytes: int = 64 << 10, sample: int = 1000, sample_chars: int = 8192, level: int = 3) -> None:
-    """Writes ``page_id, url, html, refers_to`` as archives, one for each partition that holds rows.
+def sample_dictionary(pages: DataFrame, size: int = 64 << 10, sample: int = 1000, sample_chars: int = 8192) -> bytes:
+    """A dictionary from the records of the ``sample`` pages of the least hash.
 
-    The dictionary is built from the ``sample`` responses of the least hash,
-    each cut to ``sample_chars`` characters for this purpose alone.
+    Pages are cut to ``sample_chars`` characters for this purpose alone, so the
+    driver receives a bounded amount.  Without pages the dictionary is empty.
     """
-    picked = pages.where("refers_to IS NULL").select("page_id", "url", F.substring("html", 1, sample_chars).alias("html"))
-    picked = picked.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample).collect()
-    examples = [record_bytes(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in picked]
-    dictionary = train_dictionary(examples, dictionary_bytes)
+    html = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, sample_chars)
+    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = picked.orderBy(F.xxhash64("page_id", "html"), "page_id", "url").limit(sample).collect()
+    return train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in rows], size)
+
+
+def write_archives(pages: DataFrame, path: str, dictionary: bytes = b"", level: int = 3) -> None:
+    """Writes ``page_id, url, html, refers_to`` as archives, one for each partition that holds rows."""
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
