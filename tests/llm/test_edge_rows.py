@@ -53,7 +53,8 @@ def test_packing_in_several_tasks(spark):
         assert ends.get(r.sequence_id, 0) == r.offset
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 1024
-    assert len(ends) <= 1.03 * sum(r.length for r in rows) / 1024
+    # Few bins and small tasks cost more than the 0.2 % of production's parameters.
+    assert len(ends) <= 1.05 * sum(r.length for r in rows) / 1024
 
 
 def test_token_files(spark, docs, none):
