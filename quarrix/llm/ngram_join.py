@@ -87,7 +87,8 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(block, total):
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+            held = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "counts"])
 
         now, total = None, None
         for batch in batches:
@@ -102,9 +103,9 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     parts = texts.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema)
-    out = np.zeros(1 << bits, np.int64)
-    for row in parts.collect():
-        out[row.block * step : (row.block + 1) * step] = np.frombuffer(row.counts, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
+    for row in parts.toLocalIterator():
+        out[row.block * step : (row.block + 1) * step] = np.frombuffer(row.counts, "<u4")
     return out
 
 
@@ -115,7 +116,10 @@ def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFram
     # Beyond what chance puts into a counter, whatever the number of documents.
     common = int(counts.mean() + 6 * counts.mean() ** 0.5) + 4
     # 0 for rare shingles, else the binary order of magnitude beyond "common".
-    classes = np.where(counts <= common, 0, np.floor(np.log2(np.maximum(counts, 1) / common)) + 1).astype(np.uint8)
+    classes = np.zeros(len(counts), np.uint8)
+    beyond = np.flatnonzero(counts > common)
+    classes[beyond] = np.floor(np.log2(counts[beyond] / common)) + 1
+    del counts, beyond
     sent = spark.sparkContext.broadcast(classes)  # 2 ** bits bytes, whatever the input
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

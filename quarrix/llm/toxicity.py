@@ -96,10 +96,11 @@ def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18,
     n, positive = len(labels), int(labels.sum())
     df = np.bincount(rows, minlength=width)
     # Terms that tell nothing about the label would only let the model learn its rows by heart.
-    text_of = np.repeat(np.arange(n), sizes)
-    scale = (association(df, np.bincount(rows, labels[text_of], width), n, positive) >= min_association).astype(np.float64)
-    kept = scale[rows] > 0
+    text_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    told = association(df, np.bincount(rows[labels.astype(bool)[text_of]], minlength=width), n, positive) >= min_association
+    scale, kept = told.astype(np.float64), told[rows]
     rows, sizes = rows[kept], np.bincount(text_of[kept], minlength=n)
+    del text_of, kept
     model = FactorizationMachine(float(np.log((positive + 0.5) / (n - positive + 1.5))), np.zeros(width), rng.normal(0, 0.01, (width, rank)), scale)
     if not 0 < positive < n:
         model.factors[:] = 0
@@ -169,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
     table = rows.toArrow().sort_by("label_id")
     lists = table.column("terms").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.array(lists.value_lengths().to_pylist(), np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     return fit(flat, sizes, table.column("toxic").to_numpy().astype(np.float64), bits, **how)
 
 
