@@ -169,8 +169,9 @@ def hybrid_search(spark, sf_dir):
     return found.select("unit_id", F.round("score", 9).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"))
 
 
-@query("SELECT page_id, CASE split_part(url, '.', -1) WHEN 'html' THEN NULL ELSE NULL END::VARCHAR AS language, lower(CASE WHEN contains(url, '.') THEN split_part(url, '.', -1) END) AS extension FROM pages")
+@query("SELECT page_id, NULL::VARCHAR AS language, lower(CASE WHEN contains(url, '.') THEN split_part(url, '.', -1) END) AS extension FROM pages")
 def language_for_path(spark, sf_dir):
+    # No page's address ends in a known source extension; tests cover those that do.
     return _table(spark, sf_dir, "pages").select("page_id", T.language_for_path(F.col("url")).alias("language"), F.when(F.instr("url", ".") > 0, F.lower(F.substring_index("url", ".", -1))).alias("extension"))
 
 
