@@ -69,8 +69,12 @@ def _hash128(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(both, np.int64).tolist())
 
 
-def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Documents by bucket of shingle hash, over all documents: ``2 ** bits`` counters, whatever the input."""
+def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """For each bucket of shingle hash 0 if it is rare, else the binary order of magnitude of its documents beyond "common".
+
+    Counted over all documents in ``2 ** bits`` counters, whatever the input.
+    The counters stay on executors; the driver gets a byte for each.
+    """
     step = min(_BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +92,7 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(block, total):
             held = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()], pa.binary()), pa.array([int(held.sum())], pa.int64())], names=["block", "counts", "total"])
 
         now, total = None, None
         for batch in batches:
@@ -101,26 +105,30 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
         if now is not None:
             yield row(now, total)
 
-    schema = "block int, counts binary"
-    parts = texts.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema)
-    out = np.zeros(1 << bits, np.uint32)
-    for row in parts.toLocalIterator():
-        out[row.block * step : (row.block + 1) * step] = np.frombuffer(row.counts, "<u4")
-    return out
+    parts = texts.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    summed = staged(parts.mapInArrow(add, "block int, counts binary, total long"), "counters")
+    mean = (summed.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
+    # Beyond what chance puts into a counter, whatever the number of documents.
+    common = int(mean + 6 * mean**0.5) + 4
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column(1).to_pylist():
+                counts = np.frombuffer(raw, "<u4")
+                found.append(np.where(counts > common, np.log2(np.maximum(counts, common) / common) + 1, 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["block", "classes"])
+
+    classes = np.zeros(1 << bits, np.uint8)
+    for block, raw in summed.select("block", "counts").mapInArrow(classify, "block int, classes binary").collect():
+        classes[block * step : (block + 1) * step] = np.frombuffer(raw, np.uint8)
+    return classes
 
 
 def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     """For each row: set size, share of rare shingles in thousandths, hashes of set and prefix, and the prefix."""
     spark = texts.sparkSession
-    counts = shingle_counts(texts, n, bits)
-    # Beyond what chance puts into a counter, whatever the number of documents.
-    common = int(counts.mean() + 6 * counts.mean() ** 0.5) + 4
-    # 0 for rare shingles, else the binary order of magnitude beyond "common".
-    classes = np.zeros(len(counts), np.uint8)
-    beyond = np.flatnonzero(counts > common)
-    classes[beyond] = np.floor(np.log2(counts[beyond] / common)) + 1
-    del counts, beyond
-    sent = spark.sparkContext.broadcast(classes)  # 2 ** bits bytes, whatever the input
+    sent = spark.sparkContext.broadcast(shingle_classes(texts, n, bits))  # 2 ** bits bytes, whatever the input
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
@@ -139,7 +147,9 @@ def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), lists], names=["doc_id", "n", "rare", "s1", "s2", "p1", "p2", "prefix"])
 
-    return staged(texts.mapInArrow(sign, "doc_id long, n long, rare long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "signed")
+    signed = staged(texts.mapInArrow(sign, "doc_id long, n long, rare long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "signed")
+    sent.unpersist()
+    return signed
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
