@@ -210,18 +210,20 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
     rows = still.join(sizes.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")))
     rows = rows.join(prefixes.dropDuplicates(["gid"]).hint("merge"), "gid")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    left = rows.where("outside").select("token", F.col("part").alias("a"), every.alias("b"), F.lit(True).alias("asks"), "gid", "n", "label", "outside", "prefix")
-    right = rows.select("token", every.alias("a"), F.col("part").alias("b"), F.lit(False).alias("asks"), "gid", "n", "label", "outside", "prefix")
+    # A row asks all parts and is asked by all; in its own part, one copy serves both.
+    columns = ["gid", "n", "label", "outside", "prefix"]
+    left = rows.where("outside AND parts > 1").select("token", F.col("part").alias("a"), every.alias("b"), F.lit(True).alias("asks"), F.lit(False).alias("is_asked"), *columns).where("a <> b")
+    right = rows.select("token", every.alias("a"), F.col("part").alias("b"), F.lit(True).alias("is_asked"), *columns).select("token", "a", "b", F.expr("outside AND a = b").alias("asks"), "is_asked", *columns)
 
     def pairs(key: tuple, block: list[tuple]) -> list[tuple[int, int]]:
-        """``block`` has (asks, gid, n, label, outside, prefix)."""
-        asking, asked = [r for r in block if r[0]], [r for r in block if not r[0]]
+        """``block`` has (asks, is_asked, gid, n, label, outside, prefix)."""
+        asking, asked = [r[2:] for r in block if r[0]], [r[2:] for r in block if r[1]]
         if not asking or not asked:
             return []
-        tokens, inverse = np.unique(np.concatenate([r[5] for r in asked]), return_inverse=True)
-        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])
-        asks = [np.searchsorted(tokens, r[5]) for r in asking]
-        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[5]] for at, r in zip(asks, asking, strict=True)]
+        tokens, inverse = np.unique(np.concatenate([r[4] for r in asked]), return_inverse=True)
+        owner = np.repeat(np.arange(len(asked)), [len(r[4]) for r in asked])
+        asks = [np.searchsorted(tokens, r[4]) for r in asking]
+        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[4]] for at, r in zip(asks, asking, strict=True)]
         table = None
         if (len(asking) + len(asked)) * len(tokens) <= _DENSE:
             has, wants = np.zeros((len(asked), len(tokens)), np.float32), np.zeros((len(asking), len(tokens)), np.float32)
@@ -230,13 +232,13 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
             table = (wants @ has.T).astype(np.int64)
         owner = owner[np.argsort(inverse, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(tokens)))])
-        n = np.array([r[2] for r in asked])
-        gids = np.array([r[1] for r in asked])
-        labels = np.array([-1 if r[3] is None else 1 for r in asked])
-        label = np.array([r[3] or 0 for r in asked])
-        outside = np.array([r[4] for r in asked])
+        gids = np.array([r[0] for r in asked])
+        n = np.array([r[1] for r in asked])
+        labels = np.array([-1 if r[2] is None else 1 for r in asked])
+        label = np.array([r[2] or 0 for r in asked])
+        outside = np.array([r[3] for r in asked])
         found = []
-        for row, (at, (_, x, nx, lx, _, prefix)) in enumerate(zip(asks, asking, strict=True)):
+        for row, (at, (x, nx, lx, _, prefix)) in enumerate(zip(asks, asking, strict=True)):
             common = table[row] if table is not None else np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
             behind = np.maximum(-(-num * nx // den), -(-num * n // den)) - 1
             fits = (common + behind) * (num + den) >= num * (nx + n)
@@ -244,7 +246,7 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
             if lx is not None:
                 fits &= (labels < 0) | (label != lx)
             for k in np.flatnonzero(fits).tolist():
-                theirs = set(asked[k][5].tolist())
+                theirs = set(asked[k][4].tolist())
                 if next((t for t in prefix.tolist() if t in theirs), None) == key[0]:
                     found.append((x, int(gids[k])))
         return found
@@ -315,7 +317,10 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     met = others.join(long.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("outside").alias("oy")).hint("merge"), "token")
     # Pairs of two such groups meet twice; the one with x > y stays.
     met = met.where(near_size).where("x <> y AND (lx IS NULL OR ly IS NULL OR lx <> ly) AND (x > y OR NOT oy)")
-    prefixes = signed.select("doc_id", "s1", "n", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "prefix")
+    # Joined by the id alone, so that what follows by id needs no further exchange of prefixes.
+    same = F.expr("(s1 ^ k1) = 0 AND (n ^ kn) = 0")
+    named = index.select("doc_id", F.col("s1").alias("k1"), F.col("n").alias("kn"))
+    prefixes = signed.select("doc_id", "s1", "n", "prefix").join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "prefix")
     pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
     pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     own = labelled.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("label").alias("la"))
