@@ -41,8 +41,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     lines = texts.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     places = staged(keyed.select(*key_hashes(F.col("key")), "doc_id", "pos"), "lines")
-    common = places.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder")).where(F.col("n_docs") >= min_docs)
-    # A key of very many documents is split by adaptive skew handling of this join.
+    common = places.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
+    # Read from a table, both sides come straight from an exchange, so adaptive skew handling can split a key of very many documents.
+    common = staged(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "common")
     out = places.join(common.hint("merge"), ["h1", "h2"]).where("doc_id < holder").groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
     split = F.split("text", "\n")
     n = F.size(split)
