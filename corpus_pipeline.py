@@ -25,8 +25,9 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; rows of one id go together if one of them is rejected."""
-    return _only(docs, quality.quality(docs).where("NOT kept"), "left_anti")
+    """Rejected rows go, and lines over the limit from the others; ``n_chars`` follows the text."""
+    done = quality.quality(docs, carry=["lang", "source"]).where("kept")
+    return done.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.char_length("cleaned").cast("long").alias("n_chars"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

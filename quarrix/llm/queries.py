@@ -66,7 +66,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_documents(spark, sf_dir))
+    done = quality.quality(_documents(spark, sf_dir))
+    return done.select(*(c for c in done.columns if c != "cleaned"), F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

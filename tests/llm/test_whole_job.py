@@ -19,3 +19,18 @@ def test_quality_limit_does_not_grow_with_the_host(spark):
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {d for d, r in got.items() if not r.kept} == set(range(20))
+
+
+def test_quality_removes_lines_over_the_limit(spark):
+    """Short boilerplate goes from the text, from every copy and with its blanks; the pipeline's stage hands that text on."""
+    import corpus_pipeline
+
+    rows = [(i, f"{own(i)}\n  Accept ALL cookies\t\n\n{own(i, 3)}\naccept all Cookies", "en", "h", 0) for i in range(20)]
+    rows += [(50, rows[0][1], "en", "h", 0), (51, rows[0][1], "en", "other", 0), (52, None, "en", "h", 0), (53, own(53), "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d: f"{own(d % 50)}\n\n{own(d % 50, 3)}" if d <= 50 else t for d, t, *_ in rows}
+    got = {r.doc_id: r for r in quality.quality(docs, carry=["lang"]).collect()}
+    assert {d: r.cleaned for d, r in got.items()} == want
+    assert {d: r.n_removed for d, r in got.items()} == {d: 2 * (d <= 50) for d in want}
+    stage = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage} == {d: (t, len(t)) for d, t in want.items() if t}
