@@ -1,9 +1,14 @@
 """Cases in which a part of an operator's job would go unseen on the given tables."""
 
+import random
+import re
+import string
+
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quarrix.llm")
-from quarrix.llm import quality  # noqa: E402
+from quarrix.llm import order_minhash, quality  # noqa: E402
 
 
 def own(i, n=25):
@@ -34,3 +39,40 @@ def test_quality_removes_lines_over_the_limit(spark):
     assert {d: r.n_removed for d, r in got.items()} == {d: 2 * (d <= 50) for d in want}
     stage = corpus_pipeline.quality_rules(spark, docs, "").collect()
     assert {r.doc_id: (r.text, r.n_chars) for r in stage} == {d: (t, len(t)) for d, t in want.items() if t}
+
+
+def kmers_of(text, k=12):
+    """From each word's beginning; of a run longer than k, all that lie inside it."""
+    out = []
+    for run in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
+        out += [text[i : i + k] for i in range(run.start(), max(run.start(), run.end() - k) + 1)]
+    return out
+
+
+def test_fingerprint_survives_an_insertion_at_the_front(spark):
+    """Texts without blanks keep nearly all k-mers, and so most tuples, when one character is put before them."""
+    rng = random.Random(5)
+    blob, cjk = ("".join(rng.choices(x, k=5000)) for x in (string.ascii_letters + string.digits, [chr(c) for c in range(0x4E00, 0x5E00)]))
+    texts = [(x, f"{front}{x}") for x in (blob, cjk, f"some words and {blob} more") for front in ("y", "😀")]
+    rows = spark.createDataFrame(texts, "a string, b string")
+    sig = order_minhash.signatures
+    got = [r[0] for r in rows.select(order_minhash.likeness(sig(F.col("a")), sig(F.col("b")))).collect()]
+    assert len(got) == len(texts) and min(got) >= 0.8
+
+
+def test_fingerprint_of_long_runs_by_definition(spark):
+    """One range for each hash, so that the tuples are those of all k-mers."""
+    texts = ["", "abc", "x" * 12, "x" * 13, "abcdefghijklm", "ab abcdefghijklmnop cd", "語" * 5 + "0123456789é😀", "a\n\nabcdefghijkl bcdefghijklmnopq"]
+    each = sorted({m for t in texts for m in kmers_of(t)})
+    hashed = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", order_minhash.signatures(F.col("t"), range_bits=20).alias("s")).collect()
+    for r in rows:
+        assert {x >> 32 for x in r.s} == {hashed[m] >> 18 for m in kmers_of(r.t)}
+
+
+def test_fingerprints_by_all_kmers_of_long_runs(spark, monkeypatch):
+    """The brute-force test with these k-mers in place of those at a stride."""
+    import test_against_brute_force as brute
+
+    monkeypatch.setattr(brute, "brute_signature", kmers_of)
+    brute.test_order_minhash(spark, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{brute.SF}/documents.parquet").collect()})
