@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the model learns from the labels of the documents at hand."""
+    """Rows predicted toxic go; the model learns from the labels of the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, toxicity.score(docs, toxicity.train(docs, labels)).where("predicted = 1"), "left_anti")
+    return toxicity.score(docs, toxicity.train(docs, labels), carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
     return fit(flat, sizes, table.column("toxic").to_numpy().astype(np.float64), bits, **how)
 
 
-def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row, from the text alone; null texts score as empty ones."""
+def score(docs: DataFrame, model: FactorizationMachine, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and the columns ``carry`` for every row, from the text alone; null texts score as empty ones."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits * (rank + 2) numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             p = np.concatenate([np.empty(0), *scores])
             held = [held_out(d) for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), *batch.columns[2:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), *([F.struct(*carry).alias("carried")] if carry else []))
+    made = "doc_id long, held_out boolean, score double, predicted int" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
+    return rows.mapInArrow(run, made).select("doc_id", "held_out", "score", "predicted", *(F.col("carried").getField(name).alias(name) for name in carry or []))

@@ -76,3 +76,23 @@ def test_fingerprints_by_all_kmers_of_long_runs(spark, monkeypatch):
 
     monkeypatch.setattr(brute, "brute_signature", kmers_of)
     brute.test_order_minhash(spark, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{brute.SF}/documents.parquet").collect()})
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Null and repeated ids: each row goes or stays by its own verdict."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good, bad = own("good"), "too short"
+    rows = [(None, good), (None, bad), (7, good), (7, bad), (8, own("other"))]
+    docs = spark.createDataFrame([(d, t, "en", "h", len(t)) for d, t in rows], schema)
+    kept = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(d), t) for d, t in rows if t != bad)
+
+    learned = [(100 + i, f"{'vile ugly' if i % 2 else 'kind fair'} word {i}") for i in range(200)]
+    rows = [(None, "kind fair one"), (None, "vile ugly one"), (9, "kind fair two"), (9, "vile ugly two")]
+    spark.createDataFrame([(100 + i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(d, t, "en", "h", len(t)) for d, t in learned + rows], schema)
+    done = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert done.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r.doc_id), r.text, r.lang, r.source, r.n_chars) for r in done.collect()) == sorted((str(d), t, "en", "h", len(t)) for d, t in learned + rows if "vile" not in t)
