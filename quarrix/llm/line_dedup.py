@@ -35,22 +35,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     Lines end at ``\\n``; a null or empty text is one empty line.  A key of at
     least ``min_chars`` code points in at least ``min_docs`` documents keeps its
     lines only in the document of the largest id that holds it.  Rows of one id
-    count as one document; rows of a null id are never counted and stay whole.
+    count as one document, but each loses the lines of its own text alone; rows
+    of a null id are never counted and stay whole.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(carry or []))
-    lines = texts.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    places = staged(keyed.select(*key_hashes(F.col("key")), "doc_id", "pos"), "lines")
+    # Rows of one id are told apart by a hash of the text.
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    lines = texts.where("doc_id IS NOT NULL").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    places = staged(keyed.select(*key_hashes(F.col("key")), "doc_id", "text_hash", "pos"), "lines")
     common = places.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
     # Read from a table, both sides come straight from an exchange, so adaptive skew handling can split a key of very many documents.
     common = staged(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "common")
-    out = places.join(common.hint("merge"), ["h1", "h2"]).where("doc_id < holder").groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+    out = places.join(common.hint("merge"), ["h1", "h2"]).where("doc_id < holder").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
     split = F.split("text", "\n")
     n = F.size(split)
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop"))
     # The outer transform binds the split lines once for all positions.
     kept = F.element_at(F.transform(F.array(split), lambda all_lines: F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")), 1)
-    joined = texts.join(out, "doc_id", "left")
+    joined = texts.join(out, ["doc_id", "text_hash"], "left")
     return joined.select(
         "doc_id",
         "text",

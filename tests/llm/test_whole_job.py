@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("quarrix.llm")
-from quarrix.llm import order_minhash, quality  # noqa: E402
+from quarrix.llm import line_dedup, order_minhash, quality  # noqa: E402
 
 
 def own(i, n=25):
@@ -96,3 +96,12 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     done = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
     assert done.columns == corpus_pipeline.COLUMNS
     assert sorted((str(r.doc_id), r.text, r.lang, r.source, r.n_chars) for r in done.collect()) == sorted((str(d), t, "en", "h", len(t)) for d, t in learned + rows if "vile" not in t)
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Each row of an id loses the common lines of its own text, wherever they stand in the others; equal rows lose the same."""
+    common = "A line of more than forty characters that many share"
+    rows = [(3, f"{common}\nunique A"), (3, f"unique B\n{common}"), (3, f"unique B\n{common}"), (None, common), *[(10 + i, common) for i in range(5)]]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 40, 5).collect()
+    assert sorted((r.kept, r.n_dropped) for r in got if r.doc_id == 3) == [("unique A", 1), ("unique B", 1), ("unique B", 1)]
+    assert {r.doc_id: r.kept for r in got if r.doc_id != 3} == {None: common, 10: "", 11: "", 12: "", 13: "", 14: common}
