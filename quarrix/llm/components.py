@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import drop, staged
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs -> ``node, component``: the least node reachable, for every node with a link.
 
     Self-links and repeated links do no harm; nodes that are their own
-    component's least one are not listed.
+    component's least one are not listed.  The result is a table of ``staged``;
+    those of the rounds before are deleted.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
@@ -31,8 +32,11 @@ def components(links: DataFrame) -> DataFrame:
 
     now = state(edges)
     while now[0]:
-        edges = staged(_stars(edges), "edges")
+        old, edges = edges, staged(_stars(edges), "edges")
+        drop(old)
         before, now = now, state(edges)
         if before == now:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found._scratch = edges._scratch
+    return found

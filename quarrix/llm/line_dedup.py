@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import drop, staged
 
 # The stripped characters, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     common = places.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
     # Read from a table, both sides come straight from an exchange, so adaptive skew handling can split a key of very many documents.
     common = staged(common.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "common")
-    out = places.join(common.hint("merge"), ["h1", "h2"]).where("doc_id < holder").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
+    out = staged(places.join(common.hint("merge"), ["h1", "h2"]).where("doc_id < holder").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop")), "positions")
+    drop(places, common)
     split = F.split("text", "\n")
     n = F.size(split)
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop"))

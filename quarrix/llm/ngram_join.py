@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import staged
+from .scratch import drop, staged
 
 _BLOCK = 1 << 12  # counters in a row of the sketch
 _PART = 2048  # groups of a block that one task compares with as many others
@@ -78,16 +79,31 @@ def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     step = min(_BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counters that are not all 0, by blocks, in as few bytes each as the block's largest needs."""
         total = np.zeros(1 << bits, np.uint32)
+        sets, held = [], 0
+
+        def add_held():
+            at = (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64)
+            total[:] += np.bincount(at, minlength=1 << bits).astype(np.uint32)
+            sets.clear()
+
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                sets = [shingles(t, n) for t in batch.column(0).slice(low, 1000).to_pylist()]
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        small = total.astype("<u2") if total.max() < 1 << 16 else total
-        if total.any():
-            for low in range(0, len(total), step * 32):
-                blocks = range(low // step, min(len(total), low + step * 32) // step)
-                yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([small[b * step : (b + 1) * step].tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
+            for text in batch.column(0):
+                sets.append(shingles(text.as_py(), n))
+                held += len(sets[-1])
+                if held > 1 << 20 or len(sets) > 1 << 16:
+                    add_held()
+                    held = 0
+        if sets:
+            add_held()
+        compressor = zstandard.ZstdCompressor(level=1)
+        for low in range(0, len(total), step * 32):
+            found = {}
+            for b in range(low // step, min(len(total), low + step * 32) // step):
+                if most := int((own := total[b * step : (b + 1) * step]).max()):
+                    found[b] = compressor.compress(own.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(block, total):
@@ -95,13 +111,14 @@ def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([held.tobytes()], pa.binary()), pa.array([int(held.sum())], pa.int64())], names=["block", "counts", "total"])
 
         now, total = None, None
+        decompressor = zstandard.ZstdDecompressor()
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, raw in zip(batch.column(0).to_pylist(), map(decompressor.decompress, batch.column(1).to_pylist()), strict=True):
                 if block != now:
                     if now is not None:
                         yield row(now, total)
                     now, total = block, np.zeros(step, np.int64)
-                total += np.frombuffer(raw, "<u2" if len(raw) == 2 * step else "<u4")
+                total += np.frombuffer(raw, f"<u{len(raw) // step}")
         if now is not None:
             yield row(now, total)
 
@@ -122,6 +139,7 @@ def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     classes = np.zeros(1 << bits, np.uint8)
     for block, raw in summed.select("block", "counts").mapInArrow(classify, "block int, classes binary").collect():
         classes[block * step : (block + 1) * step] = np.frombuffer(raw, np.uint8)
+    drop(summed)
     return classes
 
 
@@ -282,7 +300,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     texts have no shingles and no links.  Rows of one id are one document; of
     several texts under it, the set of the least hash is compared.  A null id
     stays null and has a null component.  ``bits`` sets the size of the sketch
-    that orders the shingles; results do not depend on it.
+    that orders the shingles; results do not depend on it.  Tables on the way
+    are deleted after their last use; the result is one of ``staged``.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = _signed(texts, n, num, den, bits)
@@ -302,16 +321,20 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     inside = members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
     first = staged(star.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(inside), "pairs")
     links = staged(_verified(first, nodes, texts, n, num, den), "links")
+    drop(first)
     found = components(links)
+    drop(links)
 
     # Groups whose members lie in one component have its label, others none.
     labelled = staged(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
+    drop(members)
     labels = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
     rows = blocks.select("token", "gid", "n").join(labels.hint("merge"), "gid")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("open"), F.min_by("label", "gid").alias("lead")).where("open OR lo <> hi").select("token", "lead")
-    still = staged(rows.join(mixed.hint("merge"), "token"), "mixed")
+    open_blocks = staged(rows.join(mixed.hint("merge"), "token"), "mixed")
+    drop(blocks)
     # Of two groups in different components, at least one is not in the block leader's.
-    still = still.withColumn("outside", F.expr("label IS NULL OR lead IS NULL OR label <> lead"))
+    still = open_blocks.withColumn("outside", F.expr("label IS NULL OR lead IS NULL OR label <> lead"))
     long = still.where(F.col("n") > _LONG)
     others = long.where("outside").select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
     met = others.join(long.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("outside").alias("oy")).hint("merge"), "token")
@@ -319,7 +342,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     met = met.where(near_size).where("x <> y AND (lx IS NULL OR ly IS NULL OR lx <> ly) AND (x > y OR NOT oy)")
     # Joined by the id alone, so that what follows by id needs no further exchange of prefixes.
     same = F.expr("(s1 ^ k1) = 0 AND (n ^ kn) = 0")
-    named = index.select("doc_id", F.col("s1").alias("k1"), F.col("n").alias("kn"))
+    named = labelled.where("rep = gid").select(F.col("gid").alias("doc_id"), F.col("s1").alias("k1"), F.col("n").alias("kn"))
     prefixes = signed.select("doc_id", "s1", "n", "prefix").join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "prefix")
     pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
     pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
@@ -327,10 +350,16 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     theirs = labelled.select(F.col("gid").alias("y"), F.col("rep").alias("b"), F.col("label").alias("lb"))
     rest = pairs.join(own, "x").join(theirs, "y").where("la <> lb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = staged(rest, "rest")
+    drop(open_blocks, labelled)
     if not rest.isEmpty():
-        found = components(links.unionAll(_verified(rest, nodes, texts, n, num, den)))
+        # Each node's edge to its component stands for the links found so far.
+        before, found = found, components(found.toDF("a", "b").unionAll(_verified(rest, nodes, texts, n, num, den)))
+        drop(before)
+    drop(rest)
 
     classes = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     by_doc = sets.select("doc_id", "s1", "s2", "n").join(classes.hint("merge"), ["s1", "s2", "n"]).select("doc_id", "c")
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc.hint("merge"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    result = staged(out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")), "components")
+    drop(signed, nodes, found)
+    return result

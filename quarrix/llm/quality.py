@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .scratch import staged
+from .scratch import drop, staged
 
 WINDOW = 8
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -136,6 +136,7 @@ def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, min_w
     depleted = F.coalesce(F.col("n_words") - F.col("lost") < min_words, F.lit(False))
     judged = texts.select(*key, *counted, failed.alias("base_failed")).join(lost.hint("merge"), key, "left")
     verdicts = staged(judged.select(*key, *counted, "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "drop"), "verdicts")
+    drop(texts, over)
     joined = rows.join(verdicts.hint("merge"), key).select("doc_id", *counted, "base_failed", "kept", "drop", "text", *(["carried"] if carry else []))
     fields = {f.name: f for f in joined.schema.fields}
     made_clean = StructType([*[f for name, f in fields.items() if name not in ("drop", "text", "carried")], StructField("n_removed", LongType()), StructField("cleaned", StringType()), *([fields["carried"]] if carry else [])])

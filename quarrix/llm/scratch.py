@@ -34,11 +34,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
@@ -48,4 +43,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``staged`` that nothing reads any more, then lets Spark clear the shuffles of finished jobs.
+
+    Shuffle files go only when the driver's JVM has found their plans to be
+    garbage; without the call they would stay until its heap happens to fill.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        spark._jvm.System.gc()
