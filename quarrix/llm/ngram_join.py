@@ -14,6 +14,7 @@ only pairs of groups are taken that do not lie in one component yet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from .scratch import drop, staged
 _BLOCK = 1 << 12  # counters in a row of the sketch
 _PART = 2048  # groups of a block that one task compares with as many others
 _DENSE = 4_000_000  # cells of a block's table of groups and shingles
+_FIRST = 3  # blocks that may hand on a pair
 _LONG = 3000  # shingles; the prefixes of larger sets are not sent along
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,37 +218,49 @@ def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where((F.col("c") + F.greatest(*behind)) * (num + den) >= num * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
+def _early(n, num: int, den: int):
+    """How many of a set's first shingles hold the first one that it shares with a similar set that is not smaller.
+
+    The two share at least ``num * (n + m) / (num + den)`` shingles with ``m``
+    at least ``n``, and the first of these cannot stand further back.
+    """
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
 def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """Group pairs ``(x, y)`` of unlike labels, at most one in the leader's, that can still be similar.
 
     A block's rows come with their prefixes, so pairs are counted in place and
     only likely ones leave the task, each from the block of the first shingle
-    that its two prefixes share.  A block of many groups is dealt to pairs of
-    parts of bounded size.
+    that its two prefixes share.  Prefixes travel as the lower 32 bits of their
+    shingles: that can only raise a count, and a pair leaves from its first
+    ``_FIRST`` blocks in case shingles are alike in these bits alone.  A block
+    of many groups is dealt to pairs of parts of bounded size.
     """
     sizes = still.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / _PART).alias("parts"), F.max(F.col("outside").cast("int")).alias("any")).where("any = 1").drop("any")
     rows = still.join(sizes.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")))
     rows = rows.join(prefixes.dropDuplicates(["gid"]).hint("merge"), "gid")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     # A row asks all parts and is asked by all; in its own part, one copy serves both.
-    columns = ["gid", "n", "label", "outside", "prefix"]
+    columns = ["gid", "n", "label", "outside", "early", "prefix"]
     left = rows.where("outside AND parts > 1").select("token", F.col("part").alias("a"), every.alias("b"), F.lit(True).alias("asks"), F.lit(False).alias("is_asked"), *columns).where("a <> b")
     right = rows.select("token", every.alias("a"), F.col("part").alias("b"), F.lit(True).alias("is_asked"), *columns).select("token", "a", "b", F.expr("outside AND a = b").alias("asks"), "is_asked", *columns)
 
     def pairs(key: tuple, block: list[tuple]) -> list[tuple[int, int]]:
-        """``block`` has (asks, is_asked, gid, n, label, outside, prefix)."""
+        """``block`` has (asks, is_asked, gid, n, label, outside, early, prefix)."""
         asking, asked = [r[2:] for r in block if r[0]], [r[2:] for r in block if r[1]]
         if not asking or not asked:
             return []
-        tokens, inverse = np.unique(np.concatenate([r[4] for r in asked]), return_inverse=True)
-        owner = np.repeat(np.arange(len(asked)), [len(r[4]) for r in asked])
-        asks = [np.searchsorted(tokens, r[4]) for r in asking]
-        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[4]] for at, r in zip(asks, asking, strict=True)]
+        this = ((key[0] & 0xFFFFFFFF) ^ 0x80000000) - 0x80000000
+        tokens, inverse = np.unique(np.concatenate([r[5] for r in asked]), return_inverse=True)
+        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])
+        asks = [np.searchsorted(tokens, r[5]) for r in asking]
+        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[5]] for at, r in zip(asks, asking, strict=True)]
         table = None
         if (len(asking) + len(asked)) * len(tokens) <= _DENSE:
             has, wants = np.zeros((len(asked), len(tokens)), np.float32), np.zeros((len(asking), len(tokens)), np.float32)
-            has[owner, inverse] = 1
-            wants[np.repeat(np.arange(len(asking)), [len(at) for at in asks]), np.concatenate(asks)] = 1
+            np.add.at(has, (owner, inverse), 1)
+            np.add.at(wants, (np.repeat(np.arange(len(asking)), [len(at) for at in asks]), np.concatenate(asks)), 1)
             table = (wants @ has.T).astype(np.int64)
         owner = owner[np.argsort(inverse, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(tokens)))])
@@ -255,17 +269,27 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
         labels = np.array([-1 if r[2] is None else 1 for r in asked])
         label = np.array([r[2] or 0 for r in asked])
         outside = np.array([r[3] for r in asked])
+        early = np.array([r[4] for r in asked])
+        held: dict[int, set[int]] = {}
         found = []
-        for row, (at, (x, nx, lx, _, prefix)) in enumerate(zip(asks, asking, strict=True)):
+        for row, (at, (x, nx, lx, _, early_x, prefix)) in enumerate(zip(asks, asking, strict=True)):
             common = table[row] if table is not None else np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
             behind = np.maximum(-(-num * nx // den), -(-num * n // den)) - 1
             fits = (common + behind) * (num + den) >= num * (nx + n)
             fits &= (den * np.minimum(nx, n) >= num * np.maximum(nx, n)) & (np.minimum(nx, n) <= _LONG) & (gids != x) & ((x > gids) | ~outside)
+            # The shingle stands early in the smaller set.
+            fits &= np.where(n < nx, early, early_x | ((n == nx) & early))
             if lx is not None:
                 fits &= (labels < 0) | (label != lx)
             for k in np.flatnonzero(fits).tolist():
-                theirs = set(asked[k][4].tolist())
-                if next((t for t in prefix.tolist() if t in theirs), None) == key[0]:
+                if k not in held:
+                    held[k] = set(asked[k][5].tolist())
+                if nx <= n[k]:
+                    both = (t for t in prefix[: _early(nx, num, den)].tolist() if t in held[k])
+                else:
+                    mine = set(prefix.tolist())
+                    both = (t for t in asked[k][5][: _early(int(n[k]), num, den)].tolist() if t in mine)
+                if this in islice(both, _FIRST):
                     found.append((x, int(gids[k])))
         return found
 
@@ -311,7 +335,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     groups = nodes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     members = staged(nodes.join(groups.hint("merge"), ["n", "p1", "p2"]).select("rep", "gid", "n", "s1"), "members")
     index = members.where("rep = gid").select(F.col("gid").alias("doc_id"), "s1", "n")
-    postings = signed.select("doc_id", "s1", "n", "rare", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "n", "rare", F.explode("prefix").alias("token"))
+    postings = signed.select("doc_id", "s1", "n", "rare", "prefix").join(index.hint("merge"), ["doc_id", "s1", "n"]).select(F.col("doc_id").alias("gid"), "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.withColumn("early", F.expr(f"pos <= n - ceil(2L * {num} * n / {num + den})")).drop("pos")
     # The least share of rare shingles leads: edits add rare ones, so an original has fewer than its copies.
     leaders = postings.groupBy("token").agg(F.min(F.struct("rare", "gid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("lead.gid").alias("y"), F.col("lead.n").alias("ny"))
     blocks = staged(postings.drop("rare").join(leaders.hint("merge"), "token"), "blocks")
@@ -329,9 +354,14 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     labelled = staged(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
     drop(members)
     labels = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
-    rows = blocks.select("token", "gid", "n").join(labels.hint("merge"), "gid")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("open"), F.min_by("label", "gid").alias("lead")).where("open OR lo <> hi").select("token", "lead")
-    open_blocks = staged(rows.join(mixed.hint("merge"), "token"), "mixed")
+    rows = blocks.select("token", "gid", "n", "early").join(labels.hint("merge"), "gid")
+    mixed = rows.groupBy("token").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("open"),
+        F.min_by("label", "gid").alias("lead"), F.min(F.when(F.col("early"), F.col("n"))).alias("least"),
+    ).where("open OR lo <> hi").select("token", "lead", "least")
+    # A pair leaves from the first shingle it shares, which stands early in the smaller set: others wait for a smaller one there.
+    open_blocks = rows.join(mixed.hint("merge"), "token").where(f"n > {_LONG} OR early OR n > least").drop("least")
+    open_blocks = staged(open_blocks, "mixed")
     drop(blocks)
     # Of two groups in different components, at least one is not in the block leader's.
     still = open_blocks.withColumn("outside", F.expr("label IS NULL OR lead IS NULL OR label <> lead"))
@@ -343,7 +373,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # Joined by the id alone, so that what follows by id needs no further exchange of prefixes.
     same = F.expr("(s1 ^ k1) = 0 AND (n ^ kn) = 0")
     named = labelled.where("rep = gid").select(F.col("gid").alias("doc_id"), F.col("s1").alias("k1"), F.col("n").alias("kn"))
-    prefixes = signed.select("doc_id", "s1", "n", "prefix").join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "prefix")
+    low = F.transform("prefix", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("prefix")
+    prefixes = signed.where(F.col("n") <= _LONG * den // num).select("doc_id", "s1", "n", low).join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "prefix")
     pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
     pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     own = labelled.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("label").alias("la"))
