@@ -17,7 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +45,12 @@ def unescape(text: str) -> str:
 
 @dataclass
 class Flattener:
-    """Visits content parts in order; unknown kinds raise, missing measures count as their smallest value."""
+    """Visits content parts in order; ``done`` gives the string.
+
+    Neighbouring texts are escaped as one, since a control string may be spread
+    over several parts.  Unknown kinds raise; a null part is an empty text;
+    measures that are missing, not finite or too small count as their least value.
+    """
 
     patch: int = 14  # pixels of an image on one token's side
     audio_tokens_per_second: float = 12.5
@@ -53,34 +58,50 @@ class Flattener:
     pieces: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     length: int = 0
+    texts: list[str] = field(default_factory=list)  # neighbours that wait to be escaped
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | None) -> None:
+        part = part or {}
         kind = part.get("type") or "text"
         method = getattr(self, f"visit_{kind}", None)
         if method is None:
             raise ValueError(f"unknown content part {kind!r}")
         method(part)
 
+    def done(self) -> str:
+        self._flush()
+        return "".join(self.pieces)
+
+    def _flush(self) -> None:
+        if self.texts:
+            self._add(escape("".join(self.texts)))
+            self.texts.clear()
+
     def _add(self, text: str) -> None:
         self.pieces.append(text)
         self.length += len(text)
 
+    @staticmethod
+    def _measure(value: float | None, least: float) -> float:
+        return max(least, value) if value is not None and isfinite(value) else least
+
     def _attach(self, kind: str, part: dict, n_tokens: int) -> None:
+        self._flush()
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": self.length, "n_tokens": n_tokens})
         self._add(f"<|{kind}:{len(self.attachments) - 1}|>")
 
     def visit_text(self, part: dict) -> None:
-        self._add(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
-        across, down = (ceil(max(1, part.get(k) or 1) / self.patch) for k in ("width", "height"))
+        across, down = (ceil(self._measure(part.get(k), 1) / self.patch) for k in ("width", "height"))
         self._attach("image", part, across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, ceil((part.get("seconds") or 0) * self.audio_tokens_per_second)))
+        self._attach("audio", part, max(1, ceil(self._measure(part.get("seconds"), 0) * self.audio_tokens_per_second)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * self.page_tokens)
+        self._attach("document", part, self._measure(part.get("pages"), 1) * self.page_tokens)
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), parts_col: str | None = None) -> DataFrame:
@@ -105,10 +126,11 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
                 flat = Flattener()
                 for part in content if content is not None else [{"type": "text", "text": text}]:
                     flat.visit(part)
+                whole = flat.done()
                 head = START + escape(role or "") + SEP
                 for one in flat.attachments:
                     one["at"] += len(head)
-                made["segment"].append(head + "".join(flat.pieces) + END)
+                made["segment"].append(head + whole + END)
                 made["loss_start"].append(len(head) if role in loss_roles else None)
                 made["loss_end"].append(len(head) + flat.length if role in loss_roles else None)
                 made["attachments"].append(flat.attachments)

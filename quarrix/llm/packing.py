@@ -141,10 +141,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, open_bins: int = 4096,
     Pieces arrive in an order by hash, the same in every attempt of a task; as
     many as there are bins wait together and go in longest first (with 4096,
     about 0.2 % more sequences than the sum of lengths needs).  Open bins at a task's end are final if at most 1/128 of them is free.
+    Each round has at most half the tasks of the one before, so that pieces of
+    which no bin ever gets full (all of one awkward length) end in one task too;
+    what is left for it are the open bins of two tasks.
     """
-    todo, done, layer = staged(pieces, "pieces"), [], 0
+    todo, done, layer, most = staged(pieces, "pieces"), [], 0, None
     while True:
         tasks = max(1, -(-todo.count() // pieces_per_task))
+        tasks = min(tasks, max(1, most // 2)) if most else tasks
+        most = tasks
         mixed = F.xxhash64("doc_id", "piece", F.lit(layer))
         dealt = todo.repartition(tasks, mixed) if tasks > 1 else todo.repartition(1)
         dealt = dealt.sortWithinPartitions(mixed, "doc_id", "piece", "start", "length", "ids_crc32")

@@ -143,13 +143,13 @@ def held_out(doc_id: int | None, folds: int = 5) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, **how) -> FactorizationMachine:
-    """Fits the model on the driver.
+def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> pa.Table:
+    """``label_id, toxic, terms`` of the documents to learn from, each id once.
 
     Of labelled documents that are not held out, the ``max_rows // 2`` of the
     least hash of each label are taken: this bounds what the driver receives.
     A document whose label is null or that has several labels that differ is
-    left out.
+    left out; of several rows of an id, one of the least text hash counts.
     """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     kept = marked.where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
@@ -166,8 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
 
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
     # At most max_rows ids of 12 bytes go to every task.
-    rows = texts.join(F.broadcast(sample), "label_id").select("label_id", "toxic", "text").mapInArrow(encode, "label_id long, toxic int, terms array<int>")
-    table = rows.toArrow().sort_by("label_id")
+    picked = texts.join(F.broadcast(sample), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    rows = picked.select("label_id", "toxic", "one.text").mapInArrow(encode, "label_id long, toxic int, terms array<int>")
+    return rows.toArrow().sort_by("label_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, **how) -> FactorizationMachine:
+    """Fits the model on the driver, on ``labelled_terms``: at most ``max_rows`` documents, whatever the input."""
+    table = labelled_terms(docs, labels, max_rows, bits)
     lists = table.column("terms").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     flat = lists.flatten().to_numpy(zero_copy_only=False)

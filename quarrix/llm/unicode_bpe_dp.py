@@ -23,6 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from .byte_bpe import byte_alphabet
 
@@ -31,6 +34,34 @@ _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+@lru_cache(1)
+def _odd_letters() -> tuple[regex.Pattern, dict[int, str], dict[int, str]]:
+    """Code points that the tokenizers library treats otherwise than the modules used here, which know another Unicode.
+
+    A pattern that finds those of another class, for each of them a letter of
+    the library's class (a letter, a digit or neither), and the lower case of
+    those that the library alone has one for.
+    """
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = {}
+    for kind, stand_in in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+        split = Split(Regex(f"[^{kind}]"), "removed")
+        for low in range(0, len(every), 1 << 16):
+            for piece, _ in split.pre_tokenize_str("".join(every[low : low + (1 << 16)])):
+                kinds.update(dict.fromkeys(piece, stand_in))
+    letter, digit = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+    stand_ins = {}
+    for c in every:
+        theirs = kinds.get(c, "%")
+        ours = "a" if letter.match(c) else "1" if digit.match(c) else "%"
+        if theirs != ours or (theirs == "a") != c.isalpha():
+            stand_ins[ord(c)] = theirs
+    found = "".join(f"\\U{c:08x}" for c in stand_ins)
+    lowered = Lowercase().normalize_str("\n".join(every)).split("\n")
+    lowers = {ord(c): low for c, low in zip(every, lowered, strict=True) if c.lower() != low and c != "Σ"}
+    return regex.compile(f"[{found}]" if found else r"(?!)"), stand_ins, lowers
+
+
 class PrefixBpe:
     """Encoder and decoder for a tokenizers file: NFC, lower case, words by pattern, byte alphabet, BPE with a word-end suffix.
 
@@ -47,6 +78,8 @@ class PrefixBpe:
         if steps != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or split["behavior"] != "Removed" or spec["decoder"]:
             raise ValueError(f"{path} is not a lower-case byte-level BPE with word ends")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.odd, self.stand_ins, self.lowers = _odd_letters()
+        self.odd_case = re.compile(f"[{''.join(map(chr, self.lowers))}]" if self.lowers else r"(?!)")
         self.suffix = model["end_of_word_suffix"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_ids = special
@@ -142,7 +175,11 @@ class PrefixBpe:
         known = self.known
         if len(known) > self.cache_words:
             known.clear()
-        if block.isalpha() or len(block) == 1:
+        if not block.isascii() and self.odd.search(block):
+            # Cut by stand-ins of the class that the library sees; the words keep their own letters.
+            cut = self.words.finditer(block.translate(self.stand_ins))
+            found = b"".join([self.encode_word(block[m.start() : m.end()]) for m in cut])
+        elif block.isalpha() or len(block) == 1:
             found = self.encode_word(block)
         else:
             found = b"".join([known.get(w) or self._encode_block(w) if w.isalpha() else self.encode_word(w) for w in self.words.findall(block)])
@@ -153,6 +190,8 @@ class PrefixBpe:
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.odd_case.search(text):
+                text = text.translate(self.lowers)
         if _SEPARATORS.search(text):
             blocks = _SPACE.sub(" ", text).lower().split(" ")
         else:
