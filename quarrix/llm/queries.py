@@ -110,4 +110,24 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM d""",
+    "op10_quality_rules": r"""
+        WITH d AS (SELECT doc_id, text, coalesce(source, '') AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT doc_id, text, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+                len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times
+              FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d))),
+        r AS (SELECT doc_id, count(DISTINCT spot)::BIGINT AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS spot FROM g WHERE times > 1) GROUP BY doc_id),
+        t AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+        l AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM t),
+        o AS (SELECT host, key FROM (SELECT DISTINCT host, text, key FROM l WHERE key <> '') GROUP BY host, key HAVING count(*) >= 20),
+        m AS (SELECT l.*, o.key IS NOT NULL AS gone, len(regexp_extract_all(l.key, '[^\x20\x09-\x0D]+')) AS words FROM l LEFT JOIN o ON l.host = o.host AND l.key = o.key),
+        c AS (SELECT doc_id, (count(*) FILTER (key <> '') - count(DISTINCT line) FILTER (key <> ''))::BIGINT AS n_dup_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+                sum(words) FILTER (gone) AS lost, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS cleaned FROM m GROUP BY doc_id),
+        v AS (SELECT b.*, coalesce(c.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n_removed, 0) AS n_removed, c.lost, c.cleaned,
+                b.n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * b.n_words AS base_failed
+              FROM b LEFT JOIN r ON b.doc_id = r.doc_id LEFT JOIN c ON b.doc_id = c.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND NOT coalesce(n_words - lost < 20, false) AS kept, n_removed, sha256(cleaned) AS cleaned_sha256
+        FROM v""",
 }

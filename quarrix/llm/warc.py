@@ -2,10 +2,10 @@
 
 A Zstandard dictionary is built from a bounded sample of the records.  Each
 archive begins with it in a skippable frame; every record follows as a frame of
-its own, so a record can be read at its offset.  Archives are written by
-Spark's text sink (one row, one frame), which commits whole files only and
-reaches any store Spark can; its line separator is an empty skippable frame,
-which readers of the format pass over.
+its own, so a record can be read at its offset.  Archives are rolled by bytes
+and written by Spark's text sink (one row, one file), which commits whole files
+only and reaches any store Spark can; its line separator is an empty skippable
+frame, which readers of the format pass over.
 """
 
 from __future__ import annotations
@@ -129,35 +129,50 @@ def with_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def sample_dictionary(pages: DataFrame, size: int = 64 << 10, sample: int = 1000, sample_chars: int = 8192) -> bytes:
-    """A dictionary from the records of the ``sample`` pages of the least hash.
+    """A dictionary from the records of the ``sample`` pages of the least hash; equal rows count once.
 
-    Pages are cut to ``sample_chars`` characters for this purpose alone, so the
-    driver receives a bounded amount.  Without pages the dictionary is empty.
+    Tasks send hashes first; the driver then fetches the pages up to the
+    last of these, cut to ``sample_chars`` characters for this purpose alone, so
+    what it receives is bounded whatever the number of tasks.  Without pages the
+    dictionary is empty.
     """
-    html = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, sample_chars)
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = picked.orderBy(F.xxhash64("page_id", "html"), "page_id", "url").limit(sample).collect()
-    return train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in rows], size)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("hash", F.xxhash64("page_id", "url", "html"))
+    least = [r.hash for r in rows.select("hash").orderBy("hash").limit(sample).collect()]
+    if not least:
+        return b""
+    cut = F.struct("page_id", "url", F.substring("html", 1, sample_chars).alias("html"))
+    found = rows.where(F.col("hash") <= least[-1]).groupBy("hash").agg(F.min(cut).alias("row")).orderBy("hash").select("row.*").collect()
+    return train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None) for r in found], size)
 
 
-def write_archives(pages: DataFrame, path: str, dictionary: bytes = b"", level: int = 3) -> None:
-    """Writes ``page_id, url, html, refers_to`` as archives, one for each partition that holds rows."""
+def write_archives(pages: DataFrame, path: str, dictionary: bytes = b"", level: int = 3, archive_bytes: int = 32 << 20) -> None:
+    """Writes ``page_id, url, html, refers_to`` as archives of about ``archive_bytes`` at most.
+
+    An archive is one row of the text sink and one file; it ends with the
+    record that reaches the limit, so only a single record can make it longer.
+    """
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=level, dict_data=data)
-        begun = False
+        head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        archive: list[bytes] = []
+        held = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                made = [] if begun else [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary]
-                begun = True
-                for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.slice(low, 200).columns), strict=True):
-                    payload = html.encode()
-                    made.append(compressor.compress(record_bytes(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to)))
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
+            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = html.encode()
+                archive.append(compressor.compress(record_bytes(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to)))
+                held += len(archive[-1])
+                if held >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(archive)], pa.binary())], names=["archive"])
+                    archive, held = [], 0
+        if archive:
+            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(archive)], pa.binary())], names=["archive"])
 
-    made = pages.select("page_id", "url", "html", "refers_to").mapInArrow(compress, "frame binary")
-    made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", PADDING.decode("ascii")).text(path)
+    made = pages.select("page_id", "url", "html", "refers_to").mapInArrow(compress, "archive binary")
+    made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", PADDING.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -182,5 +197,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, _RECORD.types, strict=True)], schema=_RECORD)
 
     archives = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    # Whole archives come in rows: one at a time, as they are bounded by the writing partitions.
+    # Archives are small files: a task gets as many as spark.sql.files.maxPartitionBytes allows.
     return archives.select("content").mapInArrow(read, RECORD)

@@ -70,14 +70,6 @@ def test_fingerprint_of_long_runs_by_definition(spark):
         assert {x >> 32 for x in r.s} == {hashed[m] >> 18 for m in kmers_of(r.t)}
 
 
-def test_fingerprints_by_all_kmers_of_long_runs(spark, monkeypatch):
-    """The brute-force test with these k-mers in place of those at a stride."""
-    import test_against_brute_force as brute
-
-    monkeypatch.setattr(brute, "brute_signature", kmers_of)
-    brute.test_order_minhash(spark, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{brute.SF}/documents.parquet").collect()})
-
-
 def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     """Null and repeated ids: each row goes or stays by its own verdict."""
     import corpus_pipeline
