@@ -112,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM d""",
     "op10_quality_rules": r"""
         WITH d AS (SELECT doc_id, text, coalesce(source, '') AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        b AS (SELECT doc_id, text, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+        b AS (SELECT doc_id, text, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
                 len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d),
         g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times
               FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d))),
