@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .languages import Language, language_of
+from .languages import BARE_FUNCTION, BARE_TYPE, Language, language_of
 
 CHUNK = "start_line int, end_line int, symbol string, content string, summary string"
 
@@ -58,6 +58,8 @@ class Masker:
         self.depth = 0
         self.heredocs: list[tuple[str, bool]] = []
         self.templates: list[int] = []  # brace depth inside each open ${ }
+        self.locals: set[str] = set()  # Ruby's local variables so far: after one, << shifts
+        self.outside = False  # PHP: in the page around the code
 
     def mask(self, line: str) -> str:
         if self.heredocs and not self.open:
@@ -66,11 +68,19 @@ class Masker:
                 self.heredocs.pop(0)
             return ""
         out, i = [], 0
+        if self.outside:
+            begin = re.search(r"<\?(?:php\b|=)?", line)
+            if not begin:
+                return ""
+            self.outside, i = False, begin.end()
         while i < len(line):
             i = self._inside(line, i) if self.open else self._code(line, i, out)
         if self.open and self.open[0] == "quote":
             self.open = None  # plain literals end with their line
-        return "".join(out)
+        code = "".join(out)
+        if self.name == "ruby":
+            self.locals.update(_assigned(code))
+        return code
 
     def _inside(self, line: str, i: int) -> int:
         kind, close = self.open
@@ -116,7 +126,11 @@ class Masker:
         if self.name == "ruby" and i == 0 and rest.startswith("=begin"):
             self.open, self.depth = ("comment", "=end"), 1
             return len(line)
-        if (self.name in ("bash", "ruby") and (m := re.match(r"<<([-~]?)(['\"]?)([A-Z_][A-Za-z_0-9]*)\2", rest))) or (self.name == "php" and (m := re.match(r"<<<()(['\"]?)(\w+)\2", rest))):
+        if self.name == "php" and rest.startswith("?>"):
+            begin = re.search(r"<\?(?:php\b|=)?", rest)
+            self.outside = not begin
+            return i + begin.end() if begin else len(line)
+        if rest.startswith("<<") and (m := self._heredoc(rest, "".join(out))):
             self.heredocs.append((m[3], bool(m[1])))
             return i + m.end()
         if self.name == "rust" and (m := re.match(r"[bc]?r(#*)\"", rest)) and not (i and (line[i - 1].isalnum() or line[i - 1] == "_")):
@@ -142,6 +156,19 @@ class Masker:
         out.append(c)
         return i + 1
 
+    def _heredoc(self, rest: str, before: str) -> re.Match | None:
+        """The opening of a literal that fills the lines below, unless ``<<`` shifts a number or appends to a value."""
+        if self.name == "php":
+            return re.match(r"<<<[ \t]*()(['\"]?)(\w+)\2", rest)
+        if self.name == "bash":
+            arithmetic = before.count("((") > before.count("))")
+            return None if arithmetic else re.match(r"<<(-?)[ \t]*(['\"]?)\\?(\w+)\2", rest)
+        if self.name != "ruby":
+            return None
+        left = re.search(r"([\w@$?!]+|[)\]}])(\s*)$", before)
+        value = left and (left[1] in self.locals | _assigned(before) or left[1][0] in "@$)]}0123456789" or not left[2] and re.match(r"\w", left[1]) or left[1] == "class")
+        return None if value else re.match(r"<<([-~]?)(['\"`]?)([A-Za-z_]\w*)\2", rest)
+
     def _quote(self, line: str, i: int, out: list[str]) -> int:
         c, rest = line[i], line[i:]
         if c == "'" and (self.name in ("rust", "scala") and not re.match(r"'(?:\\.[^']*|[^'\\])'", rest) or self.name in ("cpp", "c") and i and line[i - 1].isalnum()):
@@ -151,6 +178,14 @@ class Masker:
         return i + 1
 
 
+def _assigned(code: str) -> set[str]:
+    """Names that Ruby code makes local variables: assigned, parameters of a method or of a block."""
+    found = set(re.findall(r"\b([a-z_]\w*)\s*(?:[-+*/|&]|\|\||&&)?=(?![=~>])", code))
+    for params in re.findall(r"\bdef\s+[\w.?!]+[ (]([^)]*)|\|([^|]*)\|", code):
+        found.update(re.findall(r"[a-z_]\w*", " ".join(params)))
+    return found
+
+
 _END_OPENERS = re.compile(r"(?:^|;|=|\bthen\b)\s*(?:class|module|def|if|unless|case|begin|while|until|for)\b|\bdo\b")
 _ENDLESS = re.compile(r"^\s*def\s+[\w.?!]+(?:\([^)]*\))?\s+=\s")
 
@@ -193,6 +228,9 @@ def chunk_text(text: str, language: Language | None, max_lines: int = 80) -> lis
     scopes: list[_Scope] = []
     start, braces, ends = 0, 0, 0
     masker = Masker(language)
+    masker.outside = masker.name == "php" and "<?" in text
+    c_like = masker.name in ("c", "cpp", "objectivec")
+    before = ""  # the code of the line before, if it can be the type of a declaration that goes on
 
     def flush(end: int, symbol: str) -> None:
         nonlocal start
@@ -212,15 +250,17 @@ def chunk_text(text: str, language: Language | None, max_lines: int = 80) -> lis
             while scopes and _over(scopes[-1], code, line, braces, ends):
                 flush(i, label())
                 scopes.pop()
-            if language.opens_symbol(code) or (language.name == "typescript" and language.opens_symbol(line)):
-                flush(i, label())
+            split = c_like and bool(before) and bool(BARE_FUNCTION.match(code.strip()))
+            if split or language.opens_symbol(code) or (language.name == "typescript" and language.opens_symbol(line)):
+                flush(i - split, label())
                 mode = "line" if language.name == "python" and code.strip().startswith("@") else language.body
                 if language.body == "end" and (_ENDLESS.match(code) or code.strip().split()[0] in ("private", "protected") and "def" not in code):
                     mode = "line"
                 if language.name == "scala" and code.rstrip().endswith(":"):
                     mode = "indent"
                 at = {"brace": braces, "end": ends, "indent": _indent(line, 8), "objc": braces, "line": 0}[mode]
-                scopes.append(_Scope(collapse(line), mode, at))
+                scopes.append(_Scope(collapse(f"{before} {line.strip()}" if split else line), mode, at))
+        before = code.strip() if c_like and structural and BARE_TYPE.match(code.strip()) and not language.opens_symbol(code) else ""
         braces += code.count("{") - code.count("}")
         if language and language.body == "end":
             ends += len(_END_OPENERS.findall(code)) - len(re.findall(r"\bend\b", code)) - bool(_ENDLESS.match(code))
@@ -229,6 +269,10 @@ def chunk_text(text: str, language: Language | None, max_lines: int = 80) -> lis
                 scope.begun |= "{" in code and braces >= scope.base
             elif scope.mode == "end":
                 scope.begun = True
+        if language and language.body == "objc" and structural and code.strip().startswith("@end"):
+            if i - start + 1 <= max_lines:
+                flush(i + 1, label())
+            scopes.clear()
         if i - start + 1 > max_lines:
             cut = next((j + 1 for j in range(i - 1, start + max_lines // 2 - 1, -1) if _blankish(lines[j])), start + max_lines)
             flush(cut, label())
