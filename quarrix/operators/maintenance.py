@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(rows: DataFrame, order: str, value: str, name: str = "total", share: int = 65_536) -> DataFrame:
+def running_total(rows: DataFrame, order: str, value: str, name: str = "total", share: int = 4096) -> DataFrame:
     """Adds the sum of ``value`` up to and with each row, in the order of the long column ``order``.
 
     Rows are summed by stretches of the order first, so no task sees them all:
@@ -32,6 +32,17 @@ def within_chunks(files: DataFrame, max_chunks: int, strict: bool, order: str =
     return total.where(kept).drop("total")
 
 
+def within_budget(files: DataFrame, base: int, cap: int, order: str, new: str, old: str) -> DataFrame:
+    """The files before the first one whose replacement would take the whole over ``cap``.
+
+    ``base`` is what the index holds; each file in order replaces ``old`` of it by ``new``.
+    """
+    total = running_total(files.withColumn("__delta", F.col(new) - F.col(old)), order, "__delta", "__total")
+    first = total.where(F.col("__total") > cap - base).agg(F.min(order)).first()[0]
+    kept = total if first is None else total.where(F.col(order) < first)
+    return kept.drop("__delta", "__total")
+
+
 def changes(indexed: DataFrame, scanned: DataFrame, complete: bool = True) -> DataFrame:
     """``rel, change`` (added, updated, unchanged, removed, kept) by size, time and language.
 

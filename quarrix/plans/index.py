@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..chunking.chunker import chunk_files
 from ..config import EngineConfig
-from ..functions.text import snippet, token_types
+from ..functions.text import snippet, token_types, tokenize
 from ..operators import maintenance, ranking, stats
 from ..sources import store, workspace
 from ..sources.providers import FALLBACK_DIMENSION, Client, LexicalProvider, create_provider
@@ -30,6 +31,7 @@ class BuildResult:
     chunks: int = 0
     truncated: bool = False
     errors: list[str] = field(default_factory=list)
+    taken: list[str] = field(default_factory=list, repr=False)  # the files that were read anew
 
 
 @dataclass
@@ -74,29 +76,46 @@ class RetrievalIndex:
             return self._refresh() if self.ready and mode == "refresh" else self._full()
 
     def _full(self) -> BuildResult:
-        scanned, listing = workspace.scan(self.spark, self.config)
-        files = scanned.withColumn("file_id", F.col("file_ord") + 1)
-        out = self._publish(self.spark.createDataFrame([], FILES), None, files, listing.truncated, strict=False)
+        files, listing = workspace.scan(self.spark, self.config)
+        fresh = files.withColumn("file_id", F.col("file_ord") + 1)
+        out = self._publish(self.spark.createDataFrame([], FILES), None, workspace.with_contents(fresh), listing.truncated or bool(listing.errors), strict=False)
         out.mode, out.added, out.errors = "full", out.files, listing.errors
         self.errors = listing.errors
         return out
 
     def _refresh(self) -> BuildResult:
+        """Reads changed files only.
+
+        Files that a scan which was cut short or failed in places did not see
+        stay, as do indexed ones that are binary now; of changed files those are
+        taken that fit the caps together with what the index holds.
+        """
         scanned, listing = workspace.scan(self.spark, self.config)
         old = self.tables["files"]
         complete = not (listing.truncated or listing.errors or listing.skipped.get("too-large"))
-        change = maintenance.changes(old, scanned, complete).persist()
-        counts = maintenance.counters(change).first().asDict()
-        kept = maintenance.only_files(old, change.where("change IN ('unchanged', 'kept')"))
+        binary = self.spark.createDataFrame([(r,) for r in listing.binary], "rel string")
+        retained = not maintenance.only_files(old, binary).isEmpty()
+        change = maintenance.changes(old, scanned, complete)
+        # As many rows as the driver has listed.
+        known = {r.rel: r.change for r in change.collect()}
+        kept_binary = set(listing.binary)
+        counts = {c: sum(v == c and not (c == "removed" and r in kept_binary) for r, v in known.items()) for c in ("removed", "unchanged")}
+        gone = self.spark.createDataFrame([(r,) for r, v in known.items() if v == "removed" and r not in kept_binary], "rel string")
+        remaining = maintenance.without_files(old, gone)
+        changed = self.spark.createDataFrame([(r,) for r, v in known.items() if v in ("added", "updated")], "rel string")
         highest = old.agg(F.max("file_id")).first()[0] or 0
-        fresh = maintenance.only_files(scanned, change.where("change IN ('added', 'updated')"))
-        fresh = fresh.withColumn("file_id", F.row_number().over(Window.orderBy("file_ord")) + F.lit(highest)) if highest else fresh.withColumn("file_id", F.col("file_ord") + 1)
-        if not (counts["added"] or counts["updated"] or counts["removed"]):
-            out = BuildResult("refresh", files=old.count(), chunks=self.meta.n_chunks, truncated=self.meta.truncated)
+        fresh = maintenance.only_files(scanned, changed).withColumn("file_id", F.col("file_ord") + F.lit(highest + 1))
+        held = remaining.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        fresh = fresh.join(remaining.select("rel", F.col("bytes").alias("old_bytes")), "rel", "left").fillna(0, ["old_bytes"])
+        fits = maintenance.within_budget(fresh, held, self.config.max_total_bytes, "file_ord", "bytes", "old_bytes").drop("old_bytes")
+        wanted = sum(v in ("added", "updated") for v in known.values())
+        cut_short = not complete or retained or fits.count() < wanted
+        if not (wanted or counts["removed"]):
+            out = BuildResult("refresh", files=old.count(), chunks=self.meta.n_chunks, truncated=cut_short)
         else:
-            out = self._publish(kept, self.tables, fresh, not complete, strict=True)
-        for name in ("added", "updated", "removed", "unchanged"):
-            setattr(out, name, counts[name])
+            out = self._publish(remaining, self.tables, workspace.with_contents(fits), cut_short, strict=True)
+        out.added, out.updated = (sum(known.get(r) == c for r in out.taken) for c in ("added", "updated"))
+        out.removed, out.unchanged = counts["removed"], counts["unchanged"]
         out.mode, out.errors = "refresh", listing.errors
         self.errors = listing.errors
         return out
@@ -113,7 +132,6 @@ class RetrievalIndex:
             old = self.tables["files"]
             path = os.path.join(self.config.root, rel)
             known = not old.where(F.col("rel") == rel).isEmpty()
-            kept = old.where(F.col("rel") != rel)
             highest = old.agg(F.max("file_id")).first()[0] or 0
             rows = []
             if os.path.isfile(path):
@@ -125,9 +143,9 @@ class RetrievalIndex:
                 language = language_of(rel)
                 rows = [(highest + 1, highest, rel, path, stat.st_size, len(content.encode()), stat.st_mtime_ns / 1e6, language.name if language else "text", content)]
             fresh = self.spark.createDataFrame(rows, f"{FILES}, content string")
-            out = self._publish(kept, self.tables, fresh, self.meta.truncated, strict=True)
+            out = self._publish(old if rows else old.where(F.col("rel") != rel), self.tables, fresh, self.meta.truncated, strict=True)
             out.mode = "file"
-            out.added, out.updated, out.removed = (int(bool(rows) and not known), int(bool(rows) and known), int(not rows))
+            out.added, out.updated, out.removed = (int(bool(out.taken) and not known), int(bool(out.taken) and known), int(not rows))
             return out
 
     def remove_file(self, rel: str) -> bool:
@@ -139,36 +157,59 @@ class RetrievalIndex:
             self._publish(self.tables["files"].where(F.col("rel") != rel), self.tables, self.spark.createDataFrame([], f"{FILES}, content string"), self.meta.truncated, strict=True)
             return True
 
-    def _publish(self, kept: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool) -> BuildResult:
-        """Chunks the fresh files, joins what is kept, and writes a snapshot."""
-        held = before["chunks"].join(kept.select("file_id"), "file_id", "left_semi") if before else None
-        n_held, last_id = (held.count(), before["chunks"].agg(F.max("chunk_id")).first()[0] or 0) if before else (0, 0)
-        cut = chunk_files(fresh.select("file_id", "rel", "content"), self.config.max_lines_per_chunk).persist()
-        per_file = fresh.drop("content").join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id")
-        taken = maintenance.within_chunks(per_file, self.config.max_chunks - n_held, strict).persist()
-        truncated = truncated or taken.count() < per_file.count()
-        # Ids follow file order, then line: they decide ties.
-        starts = maintenance.running_total(taken, "file_ord", "n_chunks").select("file_id", "language", (F.col("total") - F.col("n_chunks") + last_id).alias("base"))
-        numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
-        order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
-        chunks = numbered.select(*order)
-        files = taken.selectExpr(*[c.strip().split(" ")[0] for c in FILES.split(",")])
-        tf = stats.term_frequencies(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), self.config.ngram)
-        vectors = self._vectors(chunks)
+    def _publish(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool) -> BuildResult:
+        """Chunks the fresh files, replaces those of the same name among the remaining ones, and writes a snapshot with all that a search needs."""
+        n_held, last_id = 0, 0
         if before:
-            ids = held.select(F.col("chunk_id").alias("unit_id"))
-            chunks, files = held.select(*order).unionByName(chunks), kept.unionByName(files)
-            tf = before["tf"].join(ids, "unit_id", "left_semi").unionByName(tf)
-            if self.provider.local:
-                vectors = self._vectors(chunks)
+            n_held = before["chunks"].join(remaining.select("file_id"), "file_id", "left_semi").count()
+            last_id = before["chunks"].agg(F.max("chunk_id")).first()[0] or 0
+        cut = chunk_files(fresh.select("file_id", "rel", "content"), self.config.max_lines_per_chunk).persist()
+        try:
+            narrow = [c.strip().split(" ")[0] for c in FILES.split(",")]
+            per_file = fresh.select(*narrow).join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id")
+            if before:
+                replaced = remaining.select("rel", F.col("file_id").alias("old_id")).join(before["chunks"].groupBy(F.col("file_id").alias("old_id")).agg(F.count(F.lit(1)).alias("n_old")), "old_id").select("rel", "n_old")
+                per_file = per_file.join(replaced, "rel", "left").fillna(0, ["n_old"])
+                taken = maintenance.within_budget(per_file, n_held, self.config.max_chunks, "file_ord", "n_chunks", "n_old").drop("n_old")
             else:
-                vectors = before["vectors"].join(ids, "unit_id", "left_semi").unionByName(vectors)
-        n = chunks.count()
-        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n)
-        home = store.save(self.config.data_dir, {"files": files, "chunks": chunks, "tf": tf, "vectors": vectors}, meta)
+                taken = maintenance.within_chunks(per_file, self.config.max_chunks, strict)
+            # As many rows as the driver has listed: their names and numbers only.
+            rows = taken.select(*narrow, "n_chunks").orderBy("file_ord").collect()
+            truncated = truncated or len(rows) < per_file.count()
+            taken = self.spark.createDataFrame(rows, f"{FILES}, n_chunks long")
+            kept = maintenance.without_files(remaining, taken)
+            # Ids follow file order, then line: they decide ties.
+            starts = maintenance.running_total(taken, "file_ord", "n_chunks").select("file_id", "language", (F.col("total") - F.col("n_chunks") + last_id).alias("base"))
+            numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
+            order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
+            chunks, files = numbered.select(*order), taken.drop("n_chunks")
+            tf = stats.term_frequencies(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), self.config.ngram)
+            vectors = self._vectors(chunks)
+            if before:
+                held = before["chunks"].join(kept.select("file_id"), "file_id", "left_semi")
+                ids = held.select(F.col("chunk_id").alias("unit_id"))
+                chunks, files = held.select(*order).unionByName(chunks), kept.unionByName(files)
+                tf = before["tf"].join(ids, "unit_id", "left_semi").unionByName(tf)
+                vectors = self._vectors(chunks) if self.provider.local else before["vectors"].join(ids, "unit_id", "left_semi").unionByName(vectors)
+            n = chunks.count()
+            tf = tf.persist()
+            units = chunks.select(F.col("chunk_id").alias("unit_id"))
+            corpus = stats.corpus_row(units, tf).first()
+            idf = stats.idf(tf, n)
+            sparse = self.spark.createDataFrame([], "unit_id long, bucket int, w float")
+            if self.provider.local:
+                # The vector channel always uses pairs of letters, whatever the index uses.
+                pairs = tf if self.config.ngram == 2 else stats.term_frequencies(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")))
+                sparse = ranking.hashed_vectors(pairs, idf, self.provider.dimension)
+            meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, corpus.avg_len)
+            tables = {"files": files, "chunks": chunks, "tf": tf, "idf": idf, "lengths": stats.doc_lengths(tf), "sparse": sparse, "vectors": vectors}
+            home = store.save(self.config.data_dir, tables, meta)
+            tf.unpersist()
+        finally:
+            cut.unpersist()
         self.tables = {t: self.spark.read.parquet(f"{home}/{t}") for t in store.TABLES}
         self.meta = meta
-        return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated)
+        return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated, taken=[r.rel for r in rows])
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         """Dense vectors of a client; none for the local provider, whose weights are applied when searching."""
@@ -193,25 +234,26 @@ class RetrievalIndex:
         return SearchResult(query, degraded, self.provider.id, int(1000 * (time.time() - began)), len(rows), rows)
 
     def _search(self, query: str, top_k: int) -> tuple[DataFrame, bool]:
+        """Reads of the stored tables what the query's terms and buckets need."""
         t, limit = self.tables, self.config.vector_k
         units = t["chunks"].select(F.col("chunk_id").alias("unit_id"))
-        corpus = stats.corpus_row(units, t["tf"]).first()
-        idf = stats.idf(t["tf"], corpus.n_docs)
-        terms = self.spark.createDataFrame([(query,)], "q string").select(F.explode(token_types(F.col("q"), self.config.ngram)).alias("term"))
-        lexical = ranking.top(ranking.bm25(t["tf"], idf, stats.doc_lengths(t["tf"]), corpus.avg_len, terms), limit)
+        # A constant: no job is needed to tokenize the query.
+        asked = self.spark.sql("SELECT 1").select(token_types(F.lit(query), self.config.ngram).alias("types"), tokenize(F.lit(query)).alias("tokens")).first()
+        terms = list(dict.fromkeys([*asked.types, *asked.tokens]))
+        idf = {r.term: r.idf for r in t["idf"].where(F.col("term").isin(terms)).select("term", "idf").collect()} if terms else {}
+        lexical = ranking.top(ranking.bm25_of_terms(t["tf"], {x: idf.get(x) for x in asked.types}, t["lengths"], self.meta.avg_len), limit)
         degraded = self.degraded
         if self.provider.local:
-            # The vector channel always uses pairs of letters, whatever the index uses.
-            raw = stats.term_frequencies(t["chunks"].select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text"))) if self.config.ngram != 2 else t["tf"]
-            asked = stats.term_frequencies(self.spark.createDataFrame([(0, query)], "unit_id long, text string"))
-            q = ranking.hashed_vectors(asked, idf, self.provider.dimension).select("bucket", "w")
-            vector = ranking.top(ranking.cosine_sparse(units, ranking.hashed_vectors(raw, idf, self.provider.dimension), q), limit)
+            counted = [(0, x, n) for x, n in Counter(asked.tokens).items()]
+            q = ranking.hashed_vectors(self.spark.createDataFrame(counted, "unit_id long, term string, tf long"), self.spark.createDataFrame(list(idf.items()), "term string, idf double"), self.provider.dimension)
+            found = {r.bucket: r.w for r in q.collect()}
+            vector = ranking.top(ranking.cosine_of_buckets(units, t["sparse"], found), limit)
         else:
             try:
-                asked = self.provider.embed_texts([query])[0]
-                if asked is None:
+                vectors = self.provider.embed_texts([query])[0]
+                if vectors is None:
                     raise ValueError("the query was rejected")
-                vector = ranking.top(ranking.cosine_dense(t["vectors"], asked), limit)
+                vector = ranking.top(ranking.cosine_dense(t["vectors"], vectors), limit)
             except Exception:
                 if not self.config.allow_fallback:
                     raise

@@ -14,8 +14,11 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT_VERSION = 3
-TABLES = ("files", "chunks", "tf", "vectors")
+FORMAT_VERSION = 4
+# Beside the raw tables, what a search would else compute anew from all of them.
+TABLES = ("files", "chunks", "tf", "idf", "lengths", "sparse", "vectors")
+# Sorted by what a search filters on, so that statistics of row groups let it skip the rest.
+SORTED = {"tf": "term", "idf": "term", "sparse": "bucket"}
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,7 @@ class Meta:
     built_at: int
     truncated: bool
     n_chunks: int
+    avg_len: float = 0.0
     version: int = FORMAT_VERSION
 
 
@@ -49,7 +53,10 @@ def save(folder: str, tables: dict[str, DataFrame], meta: Meta) -> str:
     name = f"v-{uuid.uuid4().hex}"
     home = os.path.join(folder, name)
     for table in TABLES:
-        tables[table].write.parquet(os.path.join(home, table))
+        rows = tables[table]
+        if key := SORTED.get(table):
+            rows = rows.repartitionByRange(key).sortWithinPartitions(key)
+        rows.write.parquet(os.path.join(home, table))
     with open(os.path.join(home, "meta.json"), "w", encoding="utf-8") as f:
         json.dump(asdict(meta), f)
     before = current(folder)

@@ -1,20 +1,22 @@
 """Source: the files under a directory.
 
-The driver lists names and sizes only (their number is capped); contents are
-read by tasks.  Order, filters and caps are those that ids and ties depend on.
+The driver lists names and sizes only (their number is capped); tasks measure
+and read contents.  Order, filters and caps are those that ids and ties depend on.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..chunking.languages import language_of
 from ..config import EngineConfig
-from ..operators.maintenance import running_total
 
 LISTED = "file_ord long, rel string, path string, size long, mtime_ms double, language string"
 BINARY_HEAD = 8192
@@ -25,6 +27,7 @@ class Listing:
     rows: list[tuple] = field(default_factory=list)
     skipped: dict[str, int] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    binary: list[str] = field(default_factory=list)
     truncated: bool = False
 
     def skip(self, reason: str) -> None:
@@ -85,23 +88,81 @@ def list_files(config: EngineConfig) -> Listing:
     return out
 
 
+def _opened(paths: DataFrame, columns: str, made: Callable[[str], tuple]) -> DataFrame:
+    """``file_ord`` and what ``made(path)`` gives for each path, computed where the task runs; a file at a time."""
+    schema = paths.sparkSession.createDataFrame([], f"file_ord long, {columns}").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for order, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append((order, *made(path)))
+                held += sum(len(x) for x in rows[-1] if isinstance(x, str)) + 64
+                if held > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types, strict=True)], schema=arrow)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types, strict=True)], schema=arrow)
+
+    return paths.select("file_ord", "path").mapInArrow(run, schema)
+
+
+def _text(path: str) -> str:
+    """Malformed bytes become U+FFFD."""
+    with open(path, "rb") as f:
+        return f.read().decode("utf-8", "replace")
+
+
 def scan(spark: SparkSession, config: EngineConfig) -> tuple[DataFrame, Listing]:
-    """Text files ``file_ord, rel, path, size, mtime_ms, language, content, bytes`` within the byte cap.
+    """Text files ``LISTED`` and their ``bytes`` (of the text, with U+FFFD for malformed bytes) within the byte cap; no contents.
 
-    Malformed bytes become U+FFFD and count as the three bytes they then take;
-    files with a NUL near their beginning are binary and left out.
+    Tasks open the listed paths, whatever their names, and no others.  Files
+    with a NUL near their beginning are binary: skipped and named in the
+    listing.  An unreadable file is an error of the listing.  The first file
+    that would exceed the byte cap ends the scan, which is then truncated.
     """
     listing = list_files(config)
     listed = spark.createDataFrame(listing.rows, LISTED)
     if not listing.rows:
-        return listed.selectExpr("*", "cast(null AS string) AS content", "cast(null AS long) AS bytes"), listing
-    raw = spark.read.format("binaryFile").load([r[2] for r in listing.rows]) if len(listing.rows) <= 64 else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(config.root)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    contents = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), text.alias("content"))
-    files = listed.join(contents, "path").withColumn("bytes", F.octet_length("content").cast("long"))
-    plain = files.where(F.instr(F.substring("content", 1, BINARY_HEAD), "\0") == 0)
-    total = running_total(plain, "file_ord", "bytes")
-    return total.where(F.col("total") <= config.max_total_bytes).drop("total"), listing
+        return listed.selectExpr("*", "cast(null AS long) AS bytes"), listing
+
+    def measure(path: str) -> tuple:
+        try:
+            text = _text(path)
+        except OSError as e:
+            return 0, False, e.strerror or str(e)
+        return len(text.encode()), "\0" in text[:BINARY_HEAD], None
+
+    # As many rows as the driver has listed already: at most max_files.
+    found = {r.file_ord: r for r in _opened(listed, "bytes long, is_binary boolean, error string", measure).collect()}
+    rows, total = [], 0
+    for row in listing.rows:
+        one = found[row[0]]
+        if one.error:
+            listing.errors.append(f"cannot read {row[1]}: {one.error}")
+        elif one.is_binary:
+            listing.skip("binary")
+            listing.binary.append(row[1])
+        elif total + one.bytes > config.max_total_bytes:
+            listing.truncated = True
+            break
+        else:
+            total += one.bytes
+            rows.append((*row, one.bytes))
+    return spark.createDataFrame(rows, f"{LISTED}, bytes long"), listing
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """Adds ``content``, read by path in tasks; files that cannot be read any more are left out."""
+
+    def read(path: str) -> tuple:
+        try:
+            return (_text(path),)
+        except OSError:
+            return (None,)
+
+    return files.join(_opened(files, "content string", read).where("content IS NOT NULL"), "file_ord")
 
 
 def skip_reasons(files: DataFrame, config: EngineConfig) -> DataFrame:
