@@ -16,6 +16,7 @@ from ..functions.text import snippet, token_types, tokenize
 from ..operators import maintenance, ranking, stats
 from ..sources import store, workspace
 from ..sources.providers import FALLBACK_DIMENSION, Client, LexicalProvider, create_provider
+from ..streaming.watch import DirWatcher, Refresher
 
 FILES = "file_id long, file_ord long, rel string, path string, size long, bytes long, mtime_ms double, language string"
 
@@ -265,6 +266,17 @@ class RetrievalIndex:
         cut = snippet(F.col("content"))
         return hits.join(paths, "file_id", "left").select("chunk_id", F.col("rel").alias("file"), path.alias("path"), "language", "symbol", "start_line", "end_line", cut.alias("snippet"), "summary", "score", "vector_score", "lexical_score"), degraded
 
+    def watch(self, polling_ms: float = 1500) -> DirWatcher:
+        """Builds or loads the index, then refreshes it after changes under the root until the watcher is closed."""
+        refresher = Refresher(lambda: self.build("refresh"), lambda e: self.errors.append(f"refresh failed: {e}"))
+        exclude = tuple(x for x in self.config.ignore if "*" not in x)
+        watcher = DirWatcher(self.config.root, refresher.ask, exclude, self.config.watch_debounce_ms, polling_ms).start()
+        try:
+            self.build("refresh")
+        finally:
+            refresher.ready()
+        return watcher
+
     def stats(self) -> dict:
         with self._lock:
             base = {"ready": self.ready, "provider_id": self.provider.id, "provider_kind": self.provider.kind, "dimension": self.provider.dimension, "root": self.config.root, "degraded": self.degraded, "errors": list(dict.fromkeys(self.errors)), "disk_bytes": store.size_bytes(self.config.data_dir)}

@@ -17,7 +17,7 @@ def dispatch(index: RetrievalIndex, action: str, query: str | None = None, top_k
             return {"ok": True, **index.stats()}
         if action == "reindex":
             done = index.reindex_file(path) if path else index.build("full" if full else "refresh")
-            return {"ok": True, **asdict(done)}
+            return {"ok": True, **{k: v for k, v in asdict(done).items() if k != "taken"}}
         return {"ok": False, "error": f"unknown action: {action}"}
     except Exception as e:
         return {"ok": False, "error": str(e)}

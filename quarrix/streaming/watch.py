@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,7 +21,9 @@ def relevant(events: DataFrame, exclude: tuple[str, ...], path: str = "path") ->
 def debounced(events: DataFrame, gap: str = "300 milliseconds", ts: str = "ts", keys: tuple[str, ...] = (), late: str | None = None) -> DataFrame:
     """``keys, start, end, n``: one row for each run of events with pauses under the gap; works on batches and streams."""
     timed = events.withWatermark(ts, late) if late else events
-    return timed.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    # A stream's sessions need a key: without any, one that is 0 for all events, which the optimizer does not see.
+    every = () if keys else (F.pmod(F.xxhash64(ts), F.lit(1)).alias("__every"),)
+    return timed.groupBy(*keys, *every, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -37,3 +42,113 @@ def on_sessions(sessions: DataFrame, act: Callable[[], None], checkpoint: str) -
             act()
 
     return sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run).start()
+
+
+def excluded(name: str, exclude: tuple[str, ...]) -> bool:
+    """As ``relevant``, for one name."""
+    return name.startswith("/") or not set(exclude).isdisjoint(name.replace("\\", "/").split("/"))
+
+
+def snapshot(root: str, exclude: tuple[str, ...] = ()) -> dict[str, tuple]:
+    """Size and times of the regular files under ``root``; files that vanish meanwhile are left out."""
+    found, stack = {}, [""]
+    while stack:
+        folder = stack.pop()
+        for entry in os.scandir(os.path.join(root, folder)):
+            name = f"{folder}/{entry.name}" if folder else entry.name
+            if excluded(name, exclude):
+                continue
+            try:
+                if entry.is_dir(follow_symlinks=False):
+                    stack.append(name)
+                elif entry.is_file():
+                    stat = entry.stat()
+                    found[name] = (stat.st_size, stat.st_mtime_ns, stat.st_ctime_ns)
+            except OSError:
+                continue
+    return found
+
+
+class DirWatcher:
+    """Polls a folder's metadata from a thread and calls ``on_change`` once changes have paused for the debounce time.
+
+    The first look only remembers what is there.  A failed look counts as no
+    change.  Nothing is called after ``close``.
+    """
+
+    def __init__(self, root: str, on_change: Callable[[], object], exclude: tuple[str, ...] = (), debounce_ms: float = 300, polling_ms: float = 1500):
+        self.root, self.on_change, self.exclude = root, on_change, tuple(exclude)
+        self.debounce, self.polling = max(0.0, debounce_ms) / 1000, max(250.0, polling_ms) / 1000
+        self._last: dict[str, tuple] | None = None
+        self._due: float | None = None
+        self._closed = threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def start(self) -> DirWatcher:
+        self.poll()
+        self._thread.start()
+        return self
+
+    def close(self) -> None:
+        self._closed.set()
+        if self._thread.is_alive() and self._thread is not threading.current_thread():
+            self._thread.join(self.polling + 1)
+
+    def fire(self, name: str | None = None) -> None:
+        """An event from elsewhere (None: of an unknown file); it starts the pause anew."""
+        if not self._closed.is_set() and not (name and excluded(name, self.exclude)):
+            self._due = time.monotonic() + self.debounce
+
+    def poll(self) -> bool:
+        """Looks once; whether anything changed since the last look."""
+        try:
+            now = snapshot(self.root, self.exclude)
+        except OSError:
+            return False
+        changed = self._last is not None and now != self._last
+        self._last = now
+        if changed:
+            self.fire()
+        return changed
+
+    def _run(self) -> None:
+        looked = time.monotonic()
+        while not self._closed.wait(min(0.05, self.polling)):
+            if time.monotonic() - looked >= self.polling:
+                self.poll()
+                looked = time.monotonic()
+            if self._due is not None and time.monotonic() >= self._due:
+                self._due = None
+                self.on_change()
+
+
+class Refresher:
+    """Coalesces refreshes: those asked for before ``ready``, or while one runs, become a single one afterwards."""
+
+    def __init__(self, act: Callable[[], object], on_error: Callable[[Exception], object] = lambda e: None):
+        self.act, self.on_error = act, on_error
+        self._lock, self._running, self._pending, self._booted, self._closed = threading.Lock(), False, False, False, False
+
+    def ready(self) -> None:
+        self._booted = True
+        if self._pending:
+            self.ask()
+
+    def close(self) -> None:
+        self._closed = True
+
+    def ask(self) -> None:
+        with self._lock:
+            self._pending = True
+            if self._running or not self._booted or self._closed:
+                return
+            self._running = True
+        try:
+            while self._pending and not self._closed:
+                self._pending = False
+                try:
+                    self.act()
+                except Exception as e:  # a failed refresh must not end the watching; the next change tries again
+                    self.on_error(e)
+        finally:
+            self._running = False
