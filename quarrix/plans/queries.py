@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import dot, normalized
 from ..operators import maintenance, ranking, stats
 from ..streaming.watch import debounced, relevant
+from . import literal_queries
 
 # The documents are of invented words: a query must use words of theirs.
 QUERY = "estion ntble queque outre"
@@ -102,10 +103,11 @@ def vocabulary_size(spark, sf_dir):
     return stats.vocabulary_size(_tf(spark, sf_dir))
 
 
-@query(f"WITH {IDF}, t AS (SELECT DISTINCT lower(p_brand) AS term FROM part) SELECT term, round(coalesce(idf, ln(1.0 + (SELECT n FROM n))), 9) AS idf FROM t LEFT JOIN idf USING (term)")
+@query(f"WITH {IDF}, t AS (SELECT DISTINCT lower(p_brand) AS term FROM part UNION VALUES ('estion'), ('ntble'), ('the')) SELECT term, round(coalesce(idf, ln(1.0 + (SELECT n FROM n))), 9) AS idf FROM t LEFT JOIN idf USING (term)")
 def idf_or_max(spark, sf_dir):
     units = _units(spark, sf_dir)
-    terms = _table(spark, sf_dir, "part").select(F.lower("p_brand").alias("term")).distinct()
+    # Brands are no words of the documents; the other three are.
+    terms = _table(spark, sf_dir, "part").select(F.lower("p_brand").alias("term")).distinct().unionAll(spark.createDataFrame([("estion",), ("ntble",), ("the",)], "term string"))
     n = units.count()
     return stats.idf_or_max(terms, stats.idf(stats.term_frequencies(units), n), n).select("term", F.round("idf", 9).alias("idf"))
 
@@ -150,10 +152,13 @@ def cosine_topk_dense(spark, sf_dir):
     return ranking.top(ranking.cosine_dense(vectors, q), TOP).select("unit_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / greatest(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 1e-300), 5) AS norm FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))) AS norm FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: i * (3 * x::DOUBLE / norm)::FLOAT::DOUBLE)), 4) AS moment, round((3 * embedding[1]::DOUBLE / norm)::FLOAT::DOUBLE, 5) AS first FROM n""")
 def normalized_rows(spark, sf_dir):
-    v = normalized(F.col("embedding"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(dot(F.col("v"), F.col("v")), 5).alias("norm"))
+    """Vectors of three times their length, normalized: one sum that depends on every place."""
+    v = normalized(F.transform("embedding", lambda x: 3 * x.cast("double")))
+    moment = F.aggregate(F.transform("v", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(moment, 4).alias("moment"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
 
 HYBRID = f"""WITH {QVEC}, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM cos), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM lex)
@@ -227,7 +232,22 @@ def changed_files(spark, sf_dir):
     return maintenance.only_files(old, refresh_changes(spark, sf_dir).where("change = 'updated'")).select("doc_id")
 
 
-@query()
+@query("SELECT doc_id FROM (SELECT doc_id, sum(len(string_split(text, chr(10)))) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= 1000")
+def chunk_cap_strict(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_chunks"))
+    return maintenance.within_chunks(docs, 1000, strict=True, order="doc_id").select("doc_id")
+
+
+PLAIN = """WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, lines, list_filter(range(len(lines)), lambda j: list_contains(['', '{', '}', ';'], trim(regexp_replace(lines[j + 1], '\\s+', ' ', 'g')))) AS cuts FROM d),
+c AS (SELECT doc_id, lines, cuts, 0::BIGINT AS s, CASE WHEN len(lines) > 20 THEN coalesce(list_max(list_filter(cuts, lambda j: j BETWEEN 10 AND 19)) + 1, 20) ELSE len(lines) END AS e FROM b
+  UNION ALL SELECT doc_id, lines, cuts, e, CASE WHEN len(lines) - e > 20 THEN coalesce(list_max(list_filter(cuts, lambda j: j BETWEEN e + 10 AND e + 19)) + 1, e + 20) ELSE len(lines) END FROM c WHERE e < len(lines)),
+o AS (SELECT *, list_filter(list_transform(lines[s + 1:e], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1] AS head FROM c)
+SELECT doc_id AS file_id, 'a.txt' AS rel, (s + 1)::INT AS start_line, e::INT AS end_line, '' AS symbol, array_to_string(lines[s + 1:e], chr(10)) AS content,
+  coalesce(CASE WHEN length(head) > 200 THEN head[1:199] || '…' ELSE head END, '') AS summary FROM o"""
+
+
+@query(PLAIN)
 def plain_chunks(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("a.txt").alias("rel"), F.col("text").alias("content"))
     return chunk_files(docs, 20)
@@ -256,3 +276,7 @@ def debounce_sessions(spark, sf_dir):
 @query("SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages) WHERE NOT starts_with(p, '/') AND NOT list_contains(string_split(p, '/'), 'fr')")
 def watch_filter(spark, sf_dir):
     return relevant(_table(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", "^https?://", "")), ("fr",)).select("page_id")
+
+
+QUERIES.update(literal_queries.QUERIES)
+ORACLE_SQL.update(literal_queries.ORACLE_SQL)
