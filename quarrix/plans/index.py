@@ -245,9 +245,7 @@ class RetrievalIndex:
         lexical = ranking.top(ranking.bm25_of_terms(t["tf"], {x: idf.get(x) for x in asked.types}, t["lengths"], self.meta.avg_len), limit)
         degraded = self.degraded
         if self.provider.local:
-            counted = [(0, x, n) for x, n in Counter(asked.tokens).items()]
-            q = ranking.hashed_vectors(self.spark.createDataFrame(counted, "unit_id long, term string, tf long"), self.spark.createDataFrame(list(idf.items()), "term string, idf double"), self.provider.dimension)
-            found = {r.bucket: r.w for r in q.collect()}
+            found = ranking.query_vector(Counter(asked.tokens), idf, self.provider.dimension)
             vector = ranking.top(ranking.cosine_of_buckets(units, t["sparse"], found), limit)
         else:
             try:

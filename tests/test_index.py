@@ -143,3 +143,10 @@ def test_cli(capsys):
 
     assert main(["version"]) == 0 and main(["help"]) == 0
     assert main(["search", " "]) == 2 and main(["nope"]) == 2 and main(["search", "x", "--nope"]) == 2
+
+
+def test_query_vector_is_that_of_a_unit(spark):
+    counts, idf = {"alpha": 1, "beta": 3, "语义": 2, "zz9": 1}, {"alpha": 2.5, "beta": 0.3, "语义": 1.75}
+    tf = spark.createDataFrame([(0, t, n) for t, n in counts.items()], "unit_id long, term string, tf long")
+    rows = ranking.hashed_vectors(tf, spark.createDataFrame(list(idf.items()), "term string, idf double"), 8).collect()
+    assert {r.bucket: r.w for r in rows} == pytest.approx(ranking.query_vector(counts, idf, 8), abs=1e-7)
