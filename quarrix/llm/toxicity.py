@@ -8,6 +8,7 @@ for more than its parts.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+|[!?*@#$%&]+")
@@ -85,6 +86,14 @@ def association(df: np.ndarray, df_positive: np.ndarray, n: int, positive: int)
     return 2 * (part(a, df, positive) + part(b, df, n - positive) + part(c, n - df, positive) + part(d, n - df, n - positive))
 
 
+def _counts(rows: np.ndarray, width: int, share: int = 1 << 20) -> np.ndarray:
+    """``bincount`` by shares: it widens what it counts to 64 bits."""
+    total = np.zeros(width, np.int64)
+    for low in range(0, len(rows), share):
+        total += np.bincount(rows[low : low + share], minlength=width)
+    return total
+
+
 def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18, rank: int = 8, epochs: int = 8, rate: float = 0.1, penalty: float = 2e-5, batch: int = 128, seed: int = 7, min_association: float = 12.0) -> FactorizationMachine:
     """Adaptive-gradient descent on the logistic loss, both labels weighing alike up to a factor of 5.
 
@@ -94,10 +103,10 @@ def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18,
     width = 1 << bits
     rng = np.random.default_rng(seed)
     n, positive = len(labels), int(labels.sum())
-    df = np.bincount(rows, minlength=width)
+    df = _counts(rows, width)
     # Terms that tell nothing about the label would only let the model learn its rows by heart.
     text_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    told = association(df, np.bincount(rows[labels.astype(bool)[text_of]], minlength=width), n, positive) >= min_association
+    told = association(df, _counts(rows[labels.astype(bool)[text_of]], width), n, positive) >= min_association
     scale, kept = told.astype(np.float64), told[rows]
     rows, sizes = rows[kept], np.bincount(text_of[kept], minlength=n)
     del text_of, kept
@@ -168,17 +177,33 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int)
     # At most max_rows ids of 12 bytes go to every task.
     picked = texts.join(F.broadcast(sample), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
     rows = picked.select("label_id", "toxic", "one.text").mapInArrow(encode, "label_id long, toxic int, terms array<int>")
-    return rows.toArrow().sort_by("label_id")
+    return rows.toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, **how) -> FactorizationMachine:
     """Fits the model on the driver, on ``labelled_terms``: at most ``max_rows`` documents, whatever the input."""
     table = labelled_terms(docs, labels, max_rows, bits)
-    lists = table.column("terms").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(flat, sizes, table.column("toxic").to_numpy().astype(np.float64), bits, **how)
+    ids, toxic = table.column("label_id").to_numpy(), table.column("toxic").to_numpy()
+    found = [x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column("terms").chunks]
+    sizes = np.concatenate([np.empty(0, np.int64), *(x.value_lengths().to_numpy() for x in table.column("terms").chunks)]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.int32), *found])
+    del table, found
+    # In the order of the ids, whatever the order of the tasks: the fit depends on it.
+    order = np.argsort(ids, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([np.empty(0, np.int32), *(flat[starts[i] : starts[i + 1]] for i in order)])
+    model = fit(flat, sizes[order], toxic[order].astype(np.float64), bits, **how)
+    del flat
+    _give_back(docs.sparkSession)
+    return model
+
+
+def _give_back(spark: SparkSession) -> None:
+    """What the sample took goes back to the machine: the driver may have little memory for what follows."""
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, carry: list[str] | None = None) -> DataFrame:
