@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import drop, staged
+
 _WORD = re.compile(r"[^\W\d_]+|[!?*@#$%&]+")
 PREFIXES = (4, 5, 6)  # lengths of the beginnings that are terms besides the word
 
@@ -152,8 +154,8 @@ def held_out(doc_id: int | None, folds: int = 5) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> pa.Table:
-    """``label_id, toxic, terms`` of the documents to learn from, each id once.
+def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, min_association: float = 12.0) -> pa.Table:
+    """``label_id, toxic, terms`` of the documents to learn from, each id once, with the terms that are associated with the label.
 
     Of labelled documents that are not held out, the ``max_rows // 2`` of the
     least hash of each label are taken: this bounds what the driver receives.
@@ -176,13 +178,32 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int)
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
     # At most max_rows ids of 12 bytes go to every task.
     picked = texts.join(F.broadcast(sample), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
-    rows = picked.select("label_id", "toxic", "one.text").mapInArrow(encode, "label_id long, toxic int, terms array<int>")
-    return rows.toArrow()
+    made = "label_id long, toxic int, terms array<int>"
+    rows = staged(picked.select("label_id", "toxic", "one.text").mapInArrow(encode, made), "labelled")
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    # At most 2 ** bits rows of counts, and then only the terms that the fit would use, reach the driver.
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("df_positive")).toArrow()
+    term, df, df_positive = (counts.column(name).to_numpy() for name in ("term", "df", "df_positive"))
+    told = np.zeros(1 << bits, bool)
+    told[term] = association(df, df_positive, n, positive) >= min_association
+    sent = docs.sparkSession.sparkContext.broadcast(told)  # 2 ** bits bytes, whatever the input
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            kept = sent.value[flat := lists.flatten().to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[kept], pa.int32()))], names=["label_id", "toxic", "terms"])
+
+    found = rows.mapInArrow(keep, made).toArrow()
+    sent.unpersist()
+    drop(rows)
+    return found
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, **how) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int = 18, min_association: float = 12.0, **how) -> FactorizationMachine:
     """Fits the model on the driver, on ``labelled_terms``: at most ``max_rows`` documents, whatever the input."""
-    table = labelled_terms(docs, labels, max_rows, bits)
+    table = labelled_terms(docs, labels, max_rows, bits, min_association)
     ids, toxic = table.column("label_id").to_numpy(), table.column("toxic").to_numpy()
     found = [x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column("terms").chunks]
     sizes = np.concatenate([np.empty(0, np.int64), *(x.value_lengths().to_numpy() for x in table.column("terms").chunks)]).astype(np.int64)
@@ -192,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
     order = np.argsort(ids, kind="stable")
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate([np.empty(0, np.int32), *(flat[starts[i] : starts[i + 1]] for i in order)])
-    model = fit(flat, sizes[order], toxic[order].astype(np.float64), bits, **how)
+    model = fit(flat, sizes[order], toxic[order].astype(np.float64), bits, min_association=min_association, **how)
     del flat
     _give_back(docs.sparkSession)
     return model
