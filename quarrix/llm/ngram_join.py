@@ -72,6 +72,46 @@ def _hash128(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(both, np.int64).tolist())
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """For each of at least 64 and twice as many buckets as there are shingles whether an odd number of them falls into it.
+
+    Where two sketches differ, a shingle is in one set alone.  The number of
+    buckets is a power of two: a sketch is halved by ``xor`` of its halves.
+    """
+    buckets = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+class _Sketches:
+    """Sketches of a block's groups, as rows of tables by width; wider ones also stand halved in the table below."""
+
+    def __init__(self, sketches: list[bytes | None]):
+        self.width = np.array([len(x) if x else 0 for x in sketches])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in {x // k for x in self.width.tolist() for k in (1, 2)} - {0}:
+            table, at = [], np.full(len(sketches), -1)
+            for k in np.flatnonzero((self.width == w) | (self.width == 2 * w)).tolist():
+                at[k] = len(table)
+                row = np.frombuffer(sketches[k], np.uint8)
+                table.append(row if len(row) == w else row[:w] ^ row[w:])
+            self.tables[w] = np.array(table), at
+
+    def differ(self, sketch: bytes | None, rows: np.ndarray) -> np.ndarray:
+        """At least how many shingles are in one of the two sets alone, for each of ``rows``; 0 where that is not known."""
+        least = np.zeros(len(rows), np.int64)
+        if not sketch:
+            return least
+        own = np.frombuffer(sketch, np.uint8)
+        width = self.width[rows]
+        for w, mine, which in ((len(own), own, width >= len(own)), (len(own) // 2, own[: len(own) // 2] ^ own[len(own) // 2 :], (width > 0) & (width < len(own)))):
+            if w in self.tables and which.any():
+                table, at = self.tables[w]
+                found = at[rows[which]]
+                least[which] = np.where(found < 0, 0, np.bitwise_count(table[found] ^ mine).sum(1, dtype=np.int64))
+        return least
+
+
 def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     """For each bucket of shingle hash 0 if it is rare, else the binary order of magnitude of its documents beyond "common".
 
@@ -146,7 +186,7 @@ def shingle_classes(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
-    """For each row: set size, share of rare shingles in thousandths, hashes of set and prefix, and the prefix."""
+    """For each row: set size, share of rare shingles in thousandths, hashes of set and prefix, sketch of a set that is not long, and the prefix."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(shingle_classes(texts, n, bits))  # 2 ** bits bytes, whatever the input
 
@@ -155,7 +195,7 @@ def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFram
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 ids = batch.column(0).slice(low, 1000)
-                rows, prefixes = [], []
+                rows, prefixes, sketches = [], [], []
                 for text in batch.column(1).slice(low, 1000).to_pylist():
                     s = shingles(text, n)
                     size = len(s)
@@ -163,11 +203,12 @@ def _signed(texts: DataFrame, n: int, num: int, den: int, bits: int) -> DataFram
                     prefix = s[np.argsort(kinds, kind="stable")][: size - -(-num * size // den) + 1] if size else s
                     rows.append((size, 1000 * int((kinds == 0).sum()) // max(1, size), *_hash128(s), *_hash128(prefix)))
                     prefixes.append(prefix.view(np.int64))
+                    sketches.append(odd_sketch(s) if size <= _LONG * den // num else None)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), lists], names=["doc_id", "n", "rare", "s1", "s2", "p1", "p2", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(sketches, pa.binary()), lists], names=["doc_id", "n", "rare", "s1", "s2", "p1", "p2", "sketch", "prefix"])
 
-    signed = staged(texts.mapInArrow(sign, "doc_id long, n long, rare long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"), "signed")
+    signed = staged(texts.mapInArrow(sign, "doc_id long, n long, rare long, s1 long, s2 long, p1 long, p2 long, sketch binary, prefix array<long>"), "signed")
     sent.unpersist()
     return signed
 
@@ -234,28 +275,29 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
     only likely ones leave the task, each from the block of the first shingle
     that its two prefixes share.  Prefixes travel as the lower 32 bits of their
     shingles: that can only raise a count, and a pair leaves from its first
-    ``_FIRST`` blocks in case shingles are alike in these bits alone.  A block
-    of many groups is dealt to pairs of parts of bounded size.
+    ``_FIRST`` blocks in case shingles are alike in these bits alone.  Of groups
+    of one set each, sketches of the whole sets tell more than the prefixes.  A
+    block of many groups is dealt to pairs of parts of bounded size.
     """
     sizes = still.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / _PART).alias("parts"), F.max(F.col("outside").cast("int")).alias("any")).where("any = 1").drop("any")
     rows = still.join(sizes.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")))
-    rows = rows.join(prefixes.dropDuplicates(["gid"]).hint("merge"), "gid")
+    rows = rows.join(prefixes.dropDuplicates(["gid"]).hint("merge"), "gid").withColumn("sketch", F.when(F.col("sole"), F.col("sketch")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     # A row asks all parts and is asked by all; in its own part, one copy serves both.
-    columns = ["gid", "n", "label", "outside", "early", "prefix"]
+    columns = ["gid", "n", "label", "outside", "early", "sketch", "prefix"]
     left = rows.where("outside AND parts > 1").select("token", F.col("part").alias("a"), every.alias("b"), F.lit(True).alias("asks"), F.lit(False).alias("is_asked"), *columns).where("a <> b")
     right = rows.select("token", every.alias("a"), F.col("part").alias("b"), F.lit(True).alias("is_asked"), *columns).select("token", "a", "b", F.expr("outside AND a = b").alias("asks"), "is_asked", *columns)
 
     def pairs(key: tuple, block: list[tuple]) -> list[tuple[int, int]]:
-        """``block`` has (asks, is_asked, gid, n, label, outside, early, prefix)."""
+        """``block`` has (asks, is_asked, gid, n, label, outside, early, sketch, prefix)."""
         asking, asked = [r[2:] for r in block if r[0]], [r[2:] for r in block if r[1]]
         if not asking or not asked:
             return []
         this = ((key[0] & 0xFFFFFFFF) ^ 0x80000000) - 0x80000000
-        tokens, inverse = np.unique(np.concatenate([r[5] for r in asked]), return_inverse=True)
-        owner = np.repeat(np.arange(len(asked)), [len(r[5]) for r in asked])
-        asks = [np.searchsorted(tokens, r[5]) for r in asking]
-        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[5]] for at, r in zip(asks, asking, strict=True)]
+        tokens, inverse = np.unique(np.concatenate([r[6] for r in asked]), return_inverse=True)
+        owner = np.repeat(np.arange(len(asked)), [len(r[6]) for r in asked])
+        asks = [np.searchsorted(tokens, r[6]) for r in asking]
+        asks = [at[tokens[np.minimum(at, len(tokens) - 1)] == r[6]] for at, r in zip(asks, asking, strict=True)]
         table = None
         if (len(asking) + len(asked)) * len(tokens) <= _DENSE:
             has, wants = np.zeros((len(asked), len(tokens)), np.float32), np.zeros((len(asking), len(tokens)), np.float32)
@@ -270,9 +312,10 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
         label = np.array([r[2] or 0 for r in asked])
         outside = np.array([r[3] for r in asked])
         early = np.array([r[4] for r in asked])
+        sketches = _Sketches([r[5] for r in asked])
         held: dict[int, set[int]] = {}
         found = []
-        for row, (at, (x, nx, lx, _, early_x, prefix)) in enumerate(zip(asks, asking, strict=True)):
+        for row, (at, (x, nx, lx, _, early_x, sketch, prefix)) in enumerate(zip(asks, asking, strict=True)):
             common = table[row] if table is not None else np.bincount(np.concatenate([owner[ends[i] : ends[i + 1]] for i in at.tolist()]), minlength=len(asked)) if len(at) else np.zeros(len(asked), np.int64)
             behind = np.maximum(-(-num * nx // den), -(-num * n // den)) - 1
             fits = (common + behind) * (num + den) >= num * (nx + n)
@@ -281,14 +324,17 @@ def _met_in_blocks(still: DataFrame, prefixes: DataFrame, num: int, den: int) ->
             fits &= np.where(n < nx, early, early_x | ((n == nx) & early))
             if lx is not None:
                 fits &= (labels < 0) | (label != lx)
-            for k in np.flatnonzero(fits).tolist():
+            near = np.flatnonzero(fits)
+            sizes = nx + n[near]
+            near = near[(sizes - sketches.differ(sketch, near)) // 2 * (num + den) >= num * sizes]
+            for k in near.tolist():
                 if k not in held:
-                    held[k] = set(asked[k][5].tolist())
+                    held[k] = set(asked[k][6].tolist())
                 if nx <= n[k]:
                     both = (t for t in prefix[: _early(nx, num, den)].tolist() if t in held[k])
                 else:
                     mine = set(prefix.tolist())
-                    both = (t for t in asked[k][5][: _early(int(n[k]), num, den)].tolist() if t in mine)
+                    both = (t for t in asked[k][6][: _early(int(n[k]), num, den)].tolist() if t in mine)
                 if this in islice(both, _FIRST):
                     found.append((x, int(gids[k])))
         return found
@@ -353,7 +399,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # Groups whose members lie in one component have its label, others none.
     labelled = staged(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
     drop(members)
-    labels = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
+    labels = labelled.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("nodes"))
+    labels = labels.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"), (F.col("nodes") == 1).alias("sole"))
     rows = blocks.select("token", "gid", "n", "early").join(labels.hint("merge"), "gid")
     mixed = rows.groupBy("token").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("label").isNull()).alias("open"),
@@ -374,7 +421,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     same = F.expr("(s1 ^ k1) = 0 AND (n ^ kn) = 0")
     named = labelled.where("rep = gid").select(F.col("gid").alias("doc_id"), F.col("s1").alias("k1"), F.col("n").alias("kn"))
     low = F.transform("prefix", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("prefix")
-    prefixes = signed.where(F.col("n") <= _LONG * den // num).select("doc_id", "s1", "n", low).join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "prefix")
+    prefixes = signed.where(F.col("n") <= _LONG * den // num).select("doc_id", "s1", "n", "sketch", low).join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "sketch", "prefix")
     pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
     pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     own = labelled.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("label").alias("la"))

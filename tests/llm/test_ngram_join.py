@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("quarrix.llm")
@@ -47,3 +48,23 @@ def test_empty_null_and_repeated_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (3, "A b c d e"), (4, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(spark.createDataFrame(rows, schema), 4, 85, 100, bits=10).collect()), key=str)
     assert got == [(1, 2, 1), (1, 2, 1), (3, 2, 1), (4, 0, 4), (None, 2, None)]
+
+
+def test_sketches_never_overstate_a_difference():
+    """Equal, folded and unknown widths; sets far apart are told apart."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - cut], rng.integers(0, 1 << 63, more, dtype=np.uint64)])) for cut in (0, 40, 150, 400) for more in (0, 30, 130, 400)]
+    sketches = [ngram_join.odd_sketch(s) for s in sets]
+    assert len({len(x) for x in sketches}) > 1 and len(ngram_join.odd_sketch(base[:0])) == 8
+    table = ngram_join._Sketches([*sketches, None])
+    rows = np.arange(len(sets) + 1)
+    for s, own in zip(sets, sketches, strict=True):
+        got = table.differ(own, rows)
+        want = np.array([len(np.setxor1d(s, other)) for other in sets])
+        assert (got[:-1] <= want).all() and got[-1] == 0
+        # The number of odd buckets that so many shingles leave on average, within four deviations.
+        m = 8 * len(own)
+        odd = m * (1 - (1 - 2 / m) ** want) / 2
+        assert all(abs(g - e) <= 2 * m**0.5 for g, e, other in zip(got, odd, sketches, strict=False) if len(other) == len(own))
+    assert not table.differ(None, rows).any()
