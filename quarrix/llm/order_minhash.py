@@ -1,14 +1,11 @@
 """Order MinHash fingerprints; DataFrame operations only.
 
-A k-mer is the ``k`` code points from the beginning of a word, blanks included;
-a run longer than ``k`` (text without blanks, long tokens, blobs) gives every
-k-mer inside it.  Places depend on the text around them alone, so that they
-are the same again after an insertion, and all k-mers together cover the text.
-The hash space is cut into equal ranges.  In each, the ``per
-range`` least occurrence-numbered k-mers are selected (by hash of the k-mer,
-then by occurrence), put into the order of the text, and hashed as a tuple.
-Two texts are alike in the share of the ranges in which their tuples agree,
-which needs the same k-mers in the same order.
+Every ``k`` consecutive code points of a text are a k-mer, blanks included; a
+shorter text that is not empty is one itself.  The hash space is cut into
+equal ranges.  In each, the ``per range`` least occurrence-numbered k-mers are
+selected (by hash of the k-mer, then by occurrence), put into the order of the
+text, and hashed as a tuple.  Two texts are alike in the share of the ranges in
+which their tuples agree, which needs the same k-mers in the same order.
 """
 
 from __future__ import annotations
@@ -27,8 +24,8 @@ def _once(value: Column, use) -> Column:
 
 def signatures(text: Column, k: int = 12, range_bits: int = 5) -> Column:
     """``array<long>``: for each range that holds a k-mer its number (upper 32 bits) and the tuple's hash (lower 32 bits)."""
-    # A run (or what is left of it) of up to k code points is passed whole, a longer one by one code point.
-    kmers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))(?:\S{{1,{k}}}+(?!\S)|\S)"), F.lit(1))
+    # Looks ahead from each code point and passes that one alone.
+    kmers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}|\A.{{1,{k}}}\z))."), F.lit(1))
     mask = (1 << _HASH_BITS) - 1
     packed = F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(mask)), _PLACE_BITS).bitwiseOR(i.cast("long")))
     low = 63 - range_bits

@@ -97,3 +97,47 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 40, 5).collect()
     assert sorted((r.kept, r.n_dropped) for r in got if r.doc_id == 3) == [("unique A", 1), ("unique B", 1), ("unique B", 1)]
     assert {r.doc_id: r.kept for r in got if r.doc_id != 3} == {None: common, 10: "", 11: "", 12: "", 13: "", 14: common}
+
+
+def windows(text, k=12):
+    """Every k consecutive code points; a shorter text as one."""
+    return [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+
+
+def test_fingerprint_sees_every_window(spark):
+    """A range for nearly each hash tells which k-mers were looked at; the tuples of 32 ranges follow from all of them."""
+    texts = ["", " ", "abc", "ab  cd\n", "x" * 12, "x" * 13, "abcd efgh ijkl mnop", " a b\n\nc\td e f g h i j ", "語" * 5 + " 0123456789é😀😀 z", "one two three " * 30]
+    each = sorted({m for t in texts for m in windows(t)})
+    hashed = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
+    sig = order_minhash.signatures
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sig(F.col("t"), range_bits=20).alias("fine"), sig(F.col("t")).alias("s")).collect()
+    wanted = {}
+    for t in texts:
+        found, times = {}, {}
+        for place, m in enumerate(windows(t)):
+            times[m] = times.get(m, 0) + 1
+            found.setdefault(hashed[m] >> 33, []).append((hashed[m], times[m] - 1, place))
+        wanted[t] = {r: [(h, n) for h, n, _ in sorted(sorted(x)[:2], key=lambda y: y[2])] for r, x in found.items()}
+    pairs = sorted({(a[0], b[0], int(a[0] == b[0] and a[1] < b[1])) for x in wanted.values() for a, b in (y for y in x.values() if len(y) == 2)})
+    made = spark.createDataFrame([*pairs], "a long, b long, c int").selectExpr("xxhash64(a, b, c) & 4294967295L").collect()
+    of_pair = dict(zip(pairs, [r[0] for r in made], strict=True))
+    of_one = {h: r[0] for h, r in zip(hashed.values(), spark.createDataFrame([(h,) for h in hashed.values()], "h long").selectExpr("xxhash64(h) & 4294967295L").collect(), strict=True)}
+    for r in rows:
+        assert {x >> 32 for x in r.fine} == {hashed[m] >> 18 for m in windows(r.t)}
+        want = set()
+        for number, found in wanted[r.t].items():
+            (a, n), *rest = found
+            low = of_pair[a, rest[0][0], int(a == rest[0][0] and n < rest[0][1])] if rest else of_one[a]
+            want.add(number << 32 | low)
+        assert set(r.s) == want and len(r.s) == len(want)
+
+
+def test_fingerprint_tells_changes_inside_words(spark):
+    """Texts whose words have equal beginnings and texts with other blanks differ in k-mers that no word begins."""
+    a = " ".join(f"{i:04d}abcdefgh{i % 7}" for i in range(300))
+    rows = spark.createDataFrame([(a, a.replace(" ", "  ", 1)), ("  " + a, a)], "a string, b string")
+    sig = order_minhash.signatures
+    got = [r[0] for r in rows.select(order_minhash.likeness(sig(F.col("a")), sig(F.col("b")))).collect()]
+    assert min(got) > 0.8
+    lead = spark.createDataFrame([("  ab cd ef gh ij", "ab cd ef gh ij")], "a string, b string")
+    assert lead.select(order_minhash.likeness(sig(F.col("a")), sig(F.col("b")))).first()[0] < 1
