@@ -35,12 +35,13 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(1)
-def _odd_letters() -> tuple[regex.Pattern, dict[int, str], dict[int, str]]:
+def _odd_letters() -> tuple[frozenset[str], dict[int, str], dict[int, str]]:
     """Code points that the tokenizers library treats otherwise than the modules used here, which know another Unicode.
 
-    A pattern that finds those of another class, for each of them a letter of
-    the library's class (a letter, a digit or neither), and the lower case of
-    those that the library alone has one for.
+    Those of another class (as a set, which a pattern would search member by
+    member), for each of them a letter of the library's class (a letter, a
+    digit or neither), and the lower case of those that the library alone has
+    one for.
     """
     every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
     kinds = {}
@@ -56,10 +57,9 @@ def _odd_letters() -> tuple[regex.Pattern, dict[int, str], dict[int, str]]:
         ours = "a" if letter.match(c) else "1" if digit.match(c) else "%"
         if theirs != ours or (theirs == "a") != c.isalpha():
             stand_ins[ord(c)] = theirs
-    found = "".join(f"\\U{c:08x}" for c in stand_ins)
     lowered = Lowercase().normalize_str("\n".join(every)).split("\n")
     lowers = {ord(c): low for c, low in zip(every, lowered, strict=True) if c.lower() != low and c != "Σ"}
-    return regex.compile(f"[{found}]" if found else r"(?!)"), stand_ins, lowers
+    return frozenset(map(chr, stand_ins)), stand_ins, lowers
 
 
 class PrefixBpe:
@@ -175,7 +175,7 @@ class PrefixBpe:
         known = self.known
         if len(known) > self.cache_words:
             known.clear()
-        if not block.isascii() and self.odd.search(block):
+        if not block.isascii() and not self.odd.isdisjoint(block):
             # Cut by stand-ins of the class that the library sees; the words keep their own letters.
             cut = self.words.finditer(block.translate(self.stand_ins))
             found = b"".join([self.encode_word(block[m.start() : m.end()]) for m in cut])

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +56,21 @@ def test_every_code_point_encodes_as_in_the_library():
         assert found.ids == own.encode(text).tolist()
 
 
+def test_letters_beyond_ascii_cost_about_as_much():
+    """The search for letters of another class must not try its thousands of letters one by one."""
+    coder, rng = unicode_bpe_dp.PrefixBpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    plain = ["".join(rng.choices(string.ascii_lowercase, k=10)) + "e" for _ in range(5000)]
+    texts = {"plain": " ".join(plain), "accents": " ".join(x[:-1] + "é" for x in plain)}
+    least = dict.fromkeys(texts, float("inf"))
+    for _ in range(4):
+        for name, text in texts.items():
+            coder.known.clear()
+            begun = time.process_time()
+            coder.encode(text)
+            least[name] = min(least[name], time.process_time() - begun)
+    assert least["accents"] < 2 * least["plain"]
+
+
 @pytest.mark.parametrize("length", [19, 27, 1024, 1])
 def test_packing_ends_on_pieces_of_one_length(spark, length):
     pieces = spark.range(300).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", f"{length}L AS length", "1L AS ids_crc32")
