@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, ngram_join, order_minhash, packing, quality, scratch, token_file, toxicity, unicode_bpe_dp, warc
+from . import chat, divergence, hamerly, line_dedup, ngram_join, order_minhash, packing, quality, scratch, token_file, toxicity, unicode_bpe_dp, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
@@ -70,16 +70,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(*(c for c in done.columns if c != "cleaned"), F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir), min_docs=10, top=10)
+
+
+def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed=3, width=64)
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_chat_formatting, op4_line_dedup, op5_ngram_jaccard_join,
         op6_order_minhash, op7_warc, op8_token_file, op9_toxicity, op10_quality_rules,
+        op11_source_divergence, op12_hamerly_clusters,
     )
 }
 
 _CONTROL, _ESCAPED = r"([<\[])(\\*)(\||/?s>|/?INST\]|/?<?/?SYS>)", r"\1\\\2\3"
 
+def _rounds_of_clusters(rounds: int) -> str:
+    """SQL of Lloyd's rounds, one after the other; ``a<r>`` assigns and ``c<r>`` has the centroids of round ``r``."""
+    near = "arg_min(c.k, (list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.k))"
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x FROM v QUALIFY k < 8)"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT i, {near} AS k FROM v, c{r} c GROUP BY i)")
+        if r < rounds:
+            parts.append(f"""m{r} AS MATERIALIZED (SELECT k, list(q ORDER BY pos) AS x FROM (SELECT k, pos, (s - ((s % n + n) % n)) // n AS q FROM (
+              SELECT k, pos, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(x) AS e, unnest(range(64)) AS pos FROM a{r} JOIN v USING (i)) GROUP BY k, pos)) GROUP BY k)""")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (k))")
+    return f"""WITH {", ".join(parts)},
+        d AS (SELECT vec_id, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+          FROM v JOIN a{rounds} USING (i) JOIN c{rounds} c USING (k))
+        SELECT vec_id, k::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM d"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": rf"""
         WITH t AS (
@@ -130,4 +158,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT base_failed AND NOT coalesce(n_words - lost < 20, false) AS kept, n_removed, sha256(cleaned) AS cleaned_sha256
         FROM v""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT lang, source, id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS df FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN (c JOIN k USING (lang, term)) ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * l.v))::BIGINT AS p,
+            (1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v))::BIGINT AS q
+          FROM s JOIN k ON s.lang = k.lang JOIN l ON l.lang = k.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o
+        QUALIFY part = 'pair' OR rank <= 10""",
+    "op12_hamerly_clusters": _rounds_of_clusters(10),
 }
