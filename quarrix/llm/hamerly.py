@@ -112,6 +112,23 @@ def _assigned(state: DataFrame, centroids: np.ndarray, drift: np.ndarray) -> Dat
     return state.mapInArrow(run, _STATE)
 
 
+def _changes(moved: DataFrame, k: int, width: int) -> DataFrame:
+    """``at, place, change``: by how much each cluster's count (place 0) and sums change; summed in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, width + 1), np.int64)
+        for batch in batches:
+            v = _matrix(batch.column(0), width)
+            counted = np.concatenate([np.ones((len(v), 1), np.int64), v], 1)
+            for column, sign in ((1, 1), (2, -1)):
+                at = batch.column(column).to_numpy()
+                np.add.at(total, at[at >= 0], sign * counted[at >= 0])
+        at, place = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(place, pa.int32()), pa.array(total[at, place])], names=["at", "place", "change"])
+
+    return moved.mapInArrow(run, "at int, place int, change long").groupBy("at", "place").agg(F.sum("change").alias("change"))
+
+
 def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256, full_scans`` for each usable vector.
 
@@ -136,11 +153,10 @@ def cluster_vectors(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int
         state = fresh
         if step == rounds:
             break
-        # Exact sums change by the vectors that came and went; the components are summed in the JVM.
-        moved = state.where("cluster <> before").select("v", F.explode(F.array(F.struct(F.col("cluster").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("before").alias("at"), F.lit(-1).alias("sign")))).alias("m")).where("m.at >= 0")
-        total = [F.sum(F.get("v", F.lit(i)).cast("long") * F.col("m.sign")).alias(f"c{i}") for i in range(width)]
-        for at, count, *parts in moved.groupBy("m.at").agg(F.sum(F.col("m.sign")).alias("n"), *total).collect():
-            sums[at] = [a + b for a, b in zip(sums[at], (count, *parts), strict=True)]
+        # Exact sums change by the vectors that came and went.
+        changes = _changes(state.where("cluster <> before").select("v", "cluster", "before"), len(centroids), width)
+        for at, place, change in changes.collect():
+            sums[at][place] += change
         before, centroids = centroids, np.array([[x // n for x in parts] if n else list(c) for c, (n, *parts) in zip(centroids.tolist(), sums, strict=True)], np.int64)
         drift = np.sqrt(((centroids - before) ** 2).sum(1)) * (1 + _MARGIN)
     return _result(state, centroids)
