@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, hamerly, line_dedup, ngram_join, order_minhash, packing, quality, scratch, token_file, toxicity, unicode_bpe_dp, warc
+from . import chat, divergence, hamerly, line_dedup, ngram_join, order_minhash, packing, pii, quality, scratch, token_file, toxicity, unicode_bpe_dp, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
@@ -79,12 +79,17 @@ def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii.span_digests(pii.find_spans(docs, pii.train(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_chat_formatting, op4_line_dedup, op5_ngram_jaccard_join,
         op6_order_minhash, op7_warc, op8_token_file, op9_toxicity, op10_quality_rules,
-        op11_source_divergence, op12_hamerly_clusters,
+        op11_source_divergence, op12_hamerly_clusters, op13_personal_data,
     )
 }
 
