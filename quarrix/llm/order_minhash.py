@@ -1,11 +1,13 @@
 """Order MinHash fingerprints; DataFrame operations only.
 
 Every ``k`` consecutive code points of a text are a k-mer, blanks included; a
-shorter text that is not empty is one itself.  The hash space is cut into
-equal ranges.  In each, the ``per range`` least occurrence-numbered k-mers are
-selected (by hash of the k-mer, then by occurrence), put into the order of the
-text, and hashed as a tuple.  Two texts are alike in the share of the ranges in
-which their tuples agree, which needs the same k-mers in the same order.
+shorter text that is not empty is one itself.  Occurrences of a k-mer are
+numbered in the order of the text, and the pair of k-mer and number is hashed;
+the k-mer's own hash tells in which of the equal ranges of the hash space all
+its occurrences lie.  In each range the two pairs of least hash are selected,
+put into the order of the text, and hashed as a tuple.  Two texts are alike in
+the share of the ranges in which their tuples agree, which needs the same
+k-mers in the same order.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PLACE_BITS = 25  # 33 million k-mers in a text; the rest of a long is hash
+_PLACE_BITS = 25  # the rest of a long is hash; what stands behind the 33 millionth k-mer counts as standing there
+_PLACE = (1 << _PLACE_BITS) - 1
 _HASH_BITS = 63 - _PLACE_BITS
+_NONE = (1 << 63) - 1
 
 
 def _once(value: Column, use) -> Column:
@@ -22,35 +26,85 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _hash(v: Column) -> Column:
+    return F.shiftright(v, _PLACE_BITS)
+
+
+def _repeated(repeats: Column, range_bits: int) -> Column:
+    """Of second and later occurrences, sorted by k-mer and place, the two pairs of least hash in each range.
+
+    One pass that numbers the occurrences and holds a range's two best; it adds
+    to its result only where a range ends.
+    """
+    low = _HASH_BITS - range_bits
+    long = lambda x: F.lit(x).cast("long")
+    names = ("last", "times", "best", "second", "out")
+
+    def state(*values: Column) -> Column:
+        return F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+
+    def add(acc: Column, v: Column) -> Column:
+        h = _hash(v)
+
+        def kept(x: Column) -> Column:
+            key, same = x["key"], F.shiftright(v, _PLACE_BITS + low) == F.shiftright(acc["last"], low)
+            within = state(h, x["n"], F.least(acc["best"], key), F.greatest(acc["best"], F.least(acc["second"], key)), acc["out"])
+            return F.when(same, within).otherwise(state(h, x["n"], key, long(_NONE), F.concat(acc["out"], F.array(acc["best"], acc["second"]))))
+
+        # With what came before: the second occurrence has the number 1.
+        n = F.when(h == acc["last"], acc["times"] + 1).otherwise(long(1))
+        mask = ((1 << low) - 1) << _PLACE_BITS
+        key = v.bitwiseAND(long(~mask)).bitwiseOR(F.shiftleft(F.xxhash64(h, n), _PLACE_BITS).bitwiseAND(long(mask)))
+        return _once(F.struct(n.alias("n"), key.alias("key")), kept)
+
+    start = state(long(-1), long(0), long(_NONE), long(_NONE), F.array().cast("array<long>"))
+    done = F.aggregate(repeats, start, add, lambda acc: F.concat(acc["out"], F.array(acc["best"], acc["second"])))
+    return F.filter(done, lambda v: v != long(_NONE))
+
+
 def signatures(text: Column, k: int = 12, range_bits: int = 5) -> Column:
     """``array<long>``: for each range that holds a k-mer its number (upper 32 bits) and the tuple's hash (lower 32 bits)."""
     # Looks ahead from each code point and passes that one alone.
     kmers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}|\A.{{1,{k}}}\z))."), F.lit(1))
-    mask = (1 << _HASH_BITS) - 1
-    packed = F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(mask)), _PLACE_BITS).bitwiseOR(i.cast("long")))
-    low = 63 - range_bits
+    mask, low, enough = (1 << _HASH_BITS) - 1, 63 - range_bits, 20 << range_bits
+
+    def packed(place) -> Column:
+        return F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(mask)), _PLACE_BITS).bitwiseOR(place(i).cast("long")))
 
     def number(v: Column) -> Column:
         return F.shiftright(v, low)
 
-    # Sorted by hash, then place: occurrences of one k-mer stand in their order.
     def least(s: Column) -> Column:
-        return F.filter(s, lambda v, i: (i < 2) | (number(F.get(s, i - 2)) != number(v)))
+        return F.filter(s, lambda v, i: (i < 2) | (F.get(s, i - 2).bitwiseXOR(v) >= F.lit(1 << low)))
+
+    # Sorted by hash, then place: occurrences of one k-mer stand in their order.  A first occurrence has the hash of its k-mer.
+    def selected(s: Column) -> Column:
+        later = F.filter(s, lambda v, i: F.get(s, i - 1).bitwiseXOR(v) <= F.lit(_PLACE))
+        return _once(later, lambda x: _once(of_firsts(s, F.size(x) > 0), lambda found: F.when(F.size(x) == 0, found).otherwise(_once(F.sort_array(F.concat(found, _repeated(x, range_bits))), least))))
+
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda v, i: (i == 0) | (F.get(s, i - 1).bitwiseXOR(v) > F.lit(_PLACE)))
+
+    def of_firsts(s: Column, repeated: Column) -> Column:
+        # Of a long text only hashes low in their range are looked at; where that leaves a range under two, all are.
+        limit = F.floor(F.lit(1 << low) / F.size(s)) * enough
+        few = F.when(F.size(s) <= enough, s).otherwise(_once(limit, lambda t: F.filter(s, lambda v: v.bitwiseAND(F.lit((1 << low) - 1)) < t)))
+        found = _once(few, lambda x: _once(F.when(repeated, firsts(x)).otherwise(x), least))
+        return _once(found, lambda x: F.when((F.size(s) <= enough) | (F.size(x) == 2 << range_bits), x).otherwise(_once(firsts(s), least)))
 
     def tuples(s: Column) -> Column:
         def one(v: Column, i: Column) -> Column:
-            w, place = F.get(s, i + 1), F.lit((1 << _PLACE_BITS) - 1)
-            a, b = F.shiftright(v, _PLACE_BITS), F.shiftright(w, _PLACE_BITS)
-            forward = v.bitwiseAND(place) < w.bitwiseAND(place)
-            # Two occurrences of one k-mer: the second number is 1, else 0.
-            pair = F.when(forward, F.xxhash64(a, b, (a == b).cast("int"))).otherwise(F.xxhash64(b, a, F.lit(0)))
+            w = F.get(s, i + 1)
+            a, b, place = _hash(v), _hash(w), F.lit(_PLACE)
+            pair = F.when(v.bitwiseAND(place) <= w.bitwiseAND(place), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
             hashed = F.when(w.isNull() | (number(w) != number(v)), F.xxhash64(a)).otherwise(pair)
             first = (i == 0) | (number(F.get(s, i - 1)) != number(v))
             return F.when(first, F.shiftleft(number(v), 32).bitwiseOR(hashed.bitwiseAND(F.lit(0xFFFFFFFF))))
 
         return F.filter(F.transform(s, one), lambda x: x.isNotNull())
 
-    return _once(F.sort_array(packed), lambda s: _once(least(s), tuples))
+    hashed = F.when(F.char_length(text) <= _PLACE, packed(lambda i: i)).otherwise(packed(lambda i: F.least(i, F.lit(_PLACE))))
+    return _once(_once(F.sort_array(hashed), selected), tuples)
 
 
 def likeness(a: Column, b: Column) -> Column:

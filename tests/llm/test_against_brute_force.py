@@ -121,14 +121,31 @@ def test_ngram_join(spark, documents):
     assert len(set(comps.values())) < len(comps)
 
 
-def brute_signature(text, k=12, bits=5):
-    """Names of the selected k-mers by range; hashes come from Spark, one by one."""
-    import re
-
-    out = []
-    for run in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
-        # Where a word begins; in a run longer than k, wherever k code points of it follow.
-        out += [text[i : i + k] for i in range(run.start(), max(run.start(), run.end() - k) + 1)]
+def windows(text, k=12):
+    """Every k consecutive code points; a shorter text as one."""
+    return [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+
+
+def brute_tuples(spark, texts, k=12, bits=5):
+    """Text -> range -> hashes of its two least pairs of k-mer and occurrence, in the order of the text."""
+    each = sorted({m for t in texts for m in windows(t, k)})
+    low = 38 - bits
+    own = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
+    placed = {}
+    for t in texts:
+        count = Counter()
+        for place, m in enumerate(windows(t, k)):
+            placed.setdefault(t, []).append((own[m], count[own[m]], place))
+            count[own[m]] += 1
+    later = sorted({(h, n) for x in placed.values() for h, n, _ in x if n})
+    made = spark.createDataFrame(later, "h long, n long").selectExpr(f"xxhash64(h, n) & ((1L << {low}) - 1)").collect()
+    pair = {(h, n): h >> low << low | r[0] for (h, n), r in zip(later, made, strict=True)}
+    out = {}
+    for t in texts:
+        ranges = defaultdict(list)
+        for h, n, place in placed.get(t, []):
+            ranges[h >> low].append((pair.get((h, n), h), place))
+        out[t] = {r: tuple(x for x, _ in sorted(sorted(found)[:2], key=lambda y: y[1])) for r, found in ranges.items()}
     return out
 
 
@@ -143,25 +160,10 @@ def test_order_minhash(spark, documents):
         edits[d] = text[: len(text) - third] + following[:third]
         assert got[d].n_chars == len(text)
         assert got[d].edited_sha256 == hashlib.sha256(edits[d].encode()).hexdigest()
-    # Signatures by the definition, from k-mers and Spark's hash alone.
-    kmers = {x: brute_signature(x) for x in {*documents.values(), *edits.values()}}
-    each = sorted({m for ms in kmers.values() for m in ms})
-    hashed = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
-    tuples, wanted = {}, []
-    for x, ms in kmers.items():
-        ranges = defaultdict(list)
-        count = Counter()
-        for place, m in enumerate(ms):
-            h = hashed[m]
-            ranges[h >> 33].append((h, count[m], place))
-            count[m] += 1
-        tuples[x] = {}
-        for r, found in ranges.items():
-            least = sorted(sorted(found)[:2], key=lambda y: y[2])
-            tuples[x][r] = tuple((h, occ) for h, occ, _ in least)
+    tuples, wanted = brute_tuples(spark, sorted({*(x or "" for x in documents.values()), *edits.values()})), []
     for d, after in zip(ids, [*ids[1:], ids[0]], strict=True):
-        a = tuples[documents[d]]
-        for other, name in ((edits[d], "near_edited"), (documents[after], "near_next")):
+        a = tuples[documents[d] or ""]
+        for other, name in ((edits[d], "near_edited"), (documents[after] or "", "near_next")):
             b = tuples[other]
             both = a.keys() | b.keys()
             want = sum(a.get(r) == b.get(r) for r in both) / len(both) if both else 1.0

@@ -1,7 +1,6 @@
 """Cases in which a part of an operator's job would go unseen on the given tables."""
 
 import random
-import re
 import string
 
 import pytest
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("quarrix.llm")
 from quarrix.llm import line_dedup, order_minhash, quality  # noqa: E402
+from test_against_brute_force import brute_tuples  # noqa: E402
 
 
 def own(i, n=25):
@@ -41,14 +41,6 @@ def test_quality_removes_lines_over_the_limit(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in stage} == {d: (t, len(t)) for d, t in want.items() if t}
 
 
-def kmers_of(text, k=12):
-    """From each word's beginning; of a run longer than k, all that lie inside it."""
-    out = []
-    for run in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
-        out += [text[i : i + k] for i in range(run.start(), max(run.start(), run.end() - k) + 1)]
-    return out
-
-
 def test_fingerprint_survives_an_insertion_at_the_front(spark):
     """Texts without blanks keep nearly all k-mers, and so most tuples, when one character is put before them."""
     rng = random.Random(5)
@@ -60,16 +52,6 @@ def test_fingerprint_survives_an_insertion_at_the_front(spark):
     assert len(got) == len(texts) and min(got) >= 0.8
 
 
-def test_fingerprint_of_long_runs_by_definition(spark):
-    """One range for each hash, so that the tuples are those of all k-mers."""
-    texts = ["", "abc", "x" * 12, "x" * 13, "abcdefghijklm", "ab abcdefghijklmnop cd", "語" * 5 + "0123456789é😀", "a\n\nabcdefghijkl bcdefghijklmnopq"]
-    each = sorted({m for t in texts for m in kmers_of(t)})
-    hashed = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", order_minhash.signatures(F.col("t"), range_bits=20).alias("s")).collect()
-    for r in rows:
-        assert {x >> 32 for x in r.s} == {hashed[m] >> 18 for m in kmers_of(r.t)}
-
-
 def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     """Null and repeated ids: each row goes or stays by its own verdict."""
     import corpus_pipeline
@@ -99,37 +81,37 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     assert {r.doc_id: r.kept for r in got if r.doc_id != 3} == {None: common, 10: "", 11: "", 12: "", 13: "", 14: common}
 
 
-def windows(text, k=12):
-    """Every k consecutive code points; a shorter text as one."""
-    return [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
-
-
 def test_fingerprint_sees_every_window(spark):
-    """A range for nearly each hash tells which k-mers were looked at; the tuples of 32 ranges follow from all of them."""
-    texts = ["", " ", "abc", "ab  cd\n", "x" * 12, "x" * 13, "abcd efgh ijkl mnop", " a b\n\nc\td e f g h i j ", "語" * 5 + " 0123456789é😀😀 z", "one two three " * 30]
-    each = sorted({m for t in texts for m in windows(t)})
-    hashed = dict(zip(each, [r[0] for r in spark.createDataFrame([(m,) for m in each], "m string").selectExpr("xxhash64(m) & ((1L << 38) - 1)").collect()], strict=True))
+    """A range for nearly each hash tells which k-mers were looked at; the tuples of 32 ranges follow from all pairs of k-mer and occurrence."""
+    rng = random.Random(9)
+    texts = ["", " ", "abc", "ab  cd\n", "x" * 12, "x" * 13, "x" * 900, "abcd efgh ijkl mnop", " a b\n\nc\td e f g h i j ", "語" * 5 + " 0123456789é😀😀 z", "one two three " * 30, "".join(rng.choices("ab ", k=3000)), "".join(rng.choices(string.ascii_letters, k=2500)) * 2, "ab" * 700 + "".join(rng.choices(string.digits, k=500))]
     sig = order_minhash.signatures
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sig(F.col("t"), range_bits=20).alias("fine"), sig(F.col("t")).alias("s")).collect()
-    wanted = {}
-    for t in texts:
-        found, times = {}, {}
-        for place, m in enumerate(windows(t)):
-            times[m] = times.get(m, 0) + 1
-            found.setdefault(hashed[m] >> 33, []).append((hashed[m], times[m] - 1, place))
-        wanted[t] = {r: [(h, n) for h, n, _ in sorted(sorted(x)[:2], key=lambda y: y[2])] for r, x in found.items()}
-    pairs = sorted({(a[0], b[0], int(a[0] == b[0] and a[1] < b[1])) for x in wanted.values() for a, b in (y for y in x.values() if len(y) == 2)})
-    made = spark.createDataFrame([*pairs], "a long, b long, c int").selectExpr("xxhash64(a, b, c) & 4294967295L").collect()
-    of_pair = dict(zip(pairs, [r[0] for r in made], strict=True))
-    of_one = {h: r[0] for h, r in zip(hashed.values(), spark.createDataFrame([(h,) for h in hashed.values()], "h long").selectExpr("xxhash64(h) & 4294967295L").collect(), strict=True)}
+    tuples = brute_tuples(spark, texts)
+    found = sorted({x for t in tuples.values() for x in t.values()})
+    hashed = {}
+    for n in (1, 2):
+        some = [x for x in found if len(x) == n]
+        made = spark.createDataFrame(some, ", ".join(f"c{i} long" for i in range(n))).selectExpr(f"xxhash64({', '.join(f'c{i}' for i in range(n))}) & 4294967295L").collect()
+        hashed |= dict(zip(some, [r[0] for r in made], strict=True))
+    fine = brute_tuples(spark, texts, bits=20)
     for r in rows:
-        assert {x >> 32 for x in r.fine} == {hashed[m] >> 18 for m in windows(r.t)}
-        want = set()
-        for number, found in wanted[r.t].items():
-            (a, n), *rest = found
-            low = of_pair[a, rest[0][0], int(a == rest[0][0] and n < rest[0][1])] if rest else of_one[a]
-            want.add(number << 32 | low)
-        assert set(r.s) == want and len(r.s) == len(want)
+        assert {x >> 32 for x in r.fine} == set(fine[r.t])
+        assert sorted(r.s) == sorted(number << 32 | hashed[x] for number, x in tuples[r.t].items())
+
+
+def test_fingerprint_of_doubled_sentences_knows_their_order(spark):
+    """Sentences that stand twice are no nearer to another order of them than sentences that stand once."""
+    rng = random.Random(1)
+    sentences = [" ".join(f"{rng.choice(['alpha', 'beta', 'gamma', 'delta', 'omega'])}{rng.randrange(1000)}" for _ in range(8)) + "." for _ in range(40)]
+
+    def shuffled(x):
+        return " ".join(rng.sample(x, len(x)))
+
+    rows = spark.createDataFrame([(shuffled(sentences), shuffled(sentences), shuffled(sentences * 2), shuffled(sentences * 2)) for _ in range(20)], "a string, b string, c string, d string")
+    sig = order_minhash.signatures
+    once, twice = rows.select(*(F.avg(order_minhash.likeness(sig(F.col(x)), sig(F.col(y)))).alias(x) for x, y in ("ab", "cd"))).first()
+    assert once < 0.6 and twice < once + 0.15
 
 
 def test_fingerprint_tells_changes_inside_words(spark):
