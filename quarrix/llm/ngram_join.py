@@ -415,14 +415,16 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     long = still.where(F.col("n") > _LONG)
     others = long.where("outside").select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
     met = others.join(long.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("outside").alias("oy")).hint("merge"), "token")
-    # Pairs of two such groups meet twice; the one with x > y stays.
+    # Pairs of two such groups meet twice in a block; the one with x > y stays.
     met = met.where(near_size).where("x <> y AND (lx IS NULL OR ly IS NULL OR lx <> ly) AND (x > y OR NOT oy)")
+    # Which of the two is outside depends on the block: the counts of all blocks go to one order of the pair.
+    met = met.selectExpr("greatest(x, y) AS x", "if(x > y, nx, ny) AS nx", "least(x, y) AS y", "if(x > y, ny, nx) AS ny")
     # Joined by the id alone, so that what follows by id needs no further exchange of prefixes.
     same = F.expr("(s1 ^ k1) = 0 AND (n ^ kn) = 0")
     named = labelled.where("rep = gid").select(F.col("gid").alias("doc_id"), F.col("s1").alias("k1"), F.col("n").alias("kn"))
     low = F.transform("prefix", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("prefix")
     prefixes = signed.where(F.col("n") <= _LONG * den // num).select("doc_id", "s1", "n", "sketch", low).join(named.hint("merge"), "doc_id").where(same).select(F.col("doc_id").alias("gid"), "sketch", "prefix")
-    pairs = _likely(met.select("x", "nx", "y", "ny"), num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
+    pairs = _likely(met, num, den).unionAll(_met_in_blocks(still.where(F.col("n") <= _LONG * den // num), prefixes, num, den))
     pairs = pairs.unionAll(labels.where("label IS NULL").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     own = labelled.select(F.col("gid").alias("x"), F.col("rep").alias("a"), F.col("label").alias("la"))
     theirs = labelled.select(F.col("gid").alias("y"), F.col("rep").alias("b"), F.col("label").alias("lb"))

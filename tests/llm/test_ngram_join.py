@@ -21,7 +21,7 @@ def family(rng, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize(("seed", "long", "part", "dense"), [(1, 3000, 2048, 4_000_000), (2, 3000, 4, 0), (3, 60, 2048, 4_000_000)])
+@pytest.mark.parametrize(("seed", "long", "part", "dense"), [(1, 3000, 2048, 4_000_000), (2, 3000, 4, 0), (3, 60, 2048, 4_000_000), (4, 30, 2048, 4_000_000), (5, 20, 16, 0)])
 def test_families_passages_and_edges(spark, monkeypatch, seed, long, part, dense):
     monkeypatch.setattr(ngram_join, "_DENSE", dense)
     monkeypatch.setattr(ngram_join, "_LONG", long)
@@ -68,3 +68,18 @@ def test_sketches_never_overstate_a_difference():
         odd = m * (1 - (1 - 2 / m) ** want) / 2
         assert all(abs(g - e) <= 2 * m**0.5 for g, e, other in zip(got, odd, sketches, strict=False) if len(other) == len(own))
     assert not table.differ(None, rows).any()
+
+
+def test_long_sets_that_meet_in_blocks_of_several_leaders(spark):
+    """Half of what two long sets share is counted under one leader, half under another, in opposite order."""
+    words = sorted((f"w{i}" for i in range(20_000)), key=lambda w: int(ngram_join.shingles(w, 1)[0]))
+    low, middle, high = words[:921], words[921:4320], words[-1000:]
+    own, common = {3: low[:320], 4: low[320:640]}, low[640:921]
+    sets = {3: [*own[3], *common, *middle], 4: [*own[4], *common, *middle]}
+    sets[1] = [*own[3], *common[140:], *middle, *high[:140]]
+    sets[2] = [*own[4], *common[:140], *middle, *high[140:281]]
+    assert {len(s) for s in sets.values()} == {4000} and 100 * len({*sets[3]} & {*sets[4]}) >= 85 * len({*sets[3]} | {*sets[4]})
+    frame = spark.createDataFrame([(d, " ".join(s)) for d, s in sets.items()], "doc_id long, text string")
+    for bits in (23, 12):
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_components(frame, 1, 85, 100, bits=bits).collect()}
+        assert got == {d: 1 for d in sets}
