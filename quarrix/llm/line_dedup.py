@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         "doc_id",
         "text",
         n.cast("long").alias("n_lines"),
-        F.coalesce(n - F.size(left), F.lit(0)).cast("long").alias("n_dropped"),
+        # Without ANSI mode the size of a null array is -1, so nulls are told apart first.
+        F.when(F.col("drop").isNull(), F.lit(0)).otherwise(n - F.size(left)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"),
         *(carry or []),
     )
