@@ -89,7 +89,7 @@ def without_lines(text: str | None, hashes: set[int]) -> tuple[str | None, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, min_words: int = 20, carry: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, host_col: str | None = "source", min_docs: int = 20, min_words: int = 20, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed, cleaned`` and the columns ``carry`` for every row.
 
     Base rules: ``n_words < 20`` or ``100 * n_repeat_words > 30 * n_words`` fails.
@@ -99,9 +99,12 @@ def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, min_w
     ``cleaned`` is the text without the ``n_removed`` lines over the limit.  A
     document that passed the base rules is rejected if it lost words and under
     ``min_words`` are left.  A null text has no words; a null host is a host of
-    its own; rows of one id are judged each for itself.
+    its own; rows of one id are judged each for itself.  ``host_col=None`` takes
+    all documents as of one host; a column that is missing raises.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col in docs.columns else F.lit("")
+    if host_col is not None and host_col not in docs.columns:
+        raise ValueError(f"no column {host_col} that names a document's host")
+    host = F.lit("") if host_col is None else F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     text = F.col("text").cast("string")
     key = ["host", "h1", "h2"]
     # 128 bits of hash name a text: all but the text itself depends on it and the host alone.
