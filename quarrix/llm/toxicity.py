@@ -24,6 +24,8 @@ from .scratch import drop, staged
 
 _WORD = re.compile(r"[^\W\d_]+|[!?*@#$%&]+")
 PREFIXES = (4, 5, 6)  # lengths of the beginnings that are terms besides the word
+NEAR = 16  # words within which two words are looked at as a pair
+_PAIR_BITS = 20
 
 
 class _TermIds(dict):
@@ -88,6 +90,33 @@ def association(df: np.ndarray, df_positive: np.ndarray, n: int, positive: int)
     return 2 * (part(a, df, positive) + part(b, df, n - positive) + part(c, n - df, positive) + part(d, n - df, n - positive))
 
 
+def near_pairs(words: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of different words at most ``NEAR`` apart, of those marked in ``open_``: hash bucket and both words."""
+    at = np.flatnonzero(open_[words])
+    own, found = words[at], []
+    for d in range(1, min(NEAR, len(own) - 1) + 1):
+        # Open words only move closer to each other, so this misses none within the distance.
+        near = at[d:] - at[:-d] <= NEAR
+        found.append(np.stack([own[:-d][near], own[d:][near]], 1))
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    both = np.sort(np.concatenate(found).astype(np.int64), 1)
+    codes = np.unique((both[:, 0] << 32 | both[:, 1])[both[:, 0] != both[:, 1]])
+    bucket = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PAIR_BITS)
+    return bucket.astype(np.int64), codes >> 32, codes & 0xFFFFFFFF
+
+
+def _association(df, df_positive, n: int, positive: int):
+    """``association`` as a column."""
+
+    def part(observed, row, column):
+        return F.when(observed > 0, observed * F.log(observed * F.lit(float(n)) / (row * column))).otherwise(0.0)
+
+    a, b = df_positive, df - df_positive
+    c, d = F.lit(positive) - a, F.lit(n - positive) - b
+    return 2 * (part(a, df, F.lit(float(positive))) + part(b, df, F.lit(float(n - positive))) + part(c, F.lit(float(n)) - df, F.lit(float(positive))) + part(d, F.lit(float(n)) - df, F.lit(float(n - positive))))
+
+
 def _counts(rows: np.ndarray, width: int, share: int = 1 << 20) -> np.ndarray:
     """``bincount`` by shares: it widens what it counts to 64 bits."""
     total = np.zeros(width, np.int64)
@@ -108,7 +137,7 @@ def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: int = 18,
     df = _counts(rows, width)
     # Terms that tell nothing about the label would only let the model learn its rows by heart.
     text_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    told = association(df, _counts(rows[labels.astype(bool)[text_of]], width), n, positive) >= min_association
+    told = (df > 0) & (association(df, _counts(rows[labels.astype(bool)[text_of]], width), n, positive) >= min_association)
     scale, kept = told.astype(np.float64), told[rows]
     rows, sizes = rows[kept], np.bincount(text_of[kept], minlength=n)
     del text_of, kept
@@ -154,16 +183,23 @@ def held_out(doc_id: int | None, folds: int = 5) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, min_association: float = 12.0) -> pa.Table:
-    """``label_id, toxic, terms`` of the documents to learn from, each id once, with the terms that are associated with the label.
+def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, min_association: float = 12.0, min_pair_association: float = 40.0) -> pa.Table:
+    """``label_id, toxic, terms`` of the documents to learn from, each id once, with the terms that tell something about the label.
+
+    Those are the terms that are associated with it themselves, and words that
+    are not, but form a pair within a few words of each other that is; pairs
+    are hashed and counted on executors, and many are tested, so they must be
+    the more plainly associated.
 
     Of labelled documents that are not held out, the ``max_rows // 2`` of the
     least hash of each label are taken: this bounds what the driver receives.
-    A document whose label is null or that has several labels that differ is
-    left out; of several rows of an id, one of the least text hash counts.
+    A document whose label is null or neither 0 nor 1, or that has several
+    labels that differ, is left out; of several rows of an id, one of the least
+    text hash counts.
     """
+    spark = docs.sparkSession
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
-    kept = marked.where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
+    kept = marked.where("toxic IN (0, 1)").where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 5 != 0)
     known = docs.select(F.col("doc_id").cast("long").alias("label_id")).where("label_id IS NOT NULL").distinct()
     kept = kept.join(known, "label_id", "left_semi")
     halves = [kept.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id")).limit(max_rows // 2).select("label_id", "toxic") for y in (0, 1)]
@@ -172,21 +208,53 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _TermIds(bits)
         for batch in batches:
-            found = [terms(t, ids).astype(np.int32) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["label_id", "toxic", "terms"])
+            texts = batch.column(2).to_pylist()
+            found = [terms(t, ids).astype(np.int32) for t in texts]
+            words = [np.fromiter((ids[w][0] for w in _WORD.findall((t or "").lower())), np.int32) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=["label_id", "toxic", "terms", "words"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
     # At most max_rows ids of 12 bytes go to every task.
     picked = texts.join(F.broadcast(sample), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
     made = "label_id long, toxic int, terms array<int>"
-    rows = staged(picked.select("label_id", "toxic", "one.text").mapInArrow(encode, made), "labelled")
+    rows = staged(picked.select("label_id", "toxic", "one.text").mapInArrow(encode, f"{made}, words array<int>"), "labelled")
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # At most 2 ** bits rows of counts, and then only the terms that the fit would use, reach the driver.
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("df_positive")).toArrow()
     term, df, df_positive = (counts.column(name).to_numpy() for name in ("term", "df", "df_positive"))
     told = np.zeros(1 << bits, bool)
     told[term] = association(df, df_positive, n, positive) >= min_association
-    sent = docs.sparkSession.sparkContext.broadcast(told)  # 2 ** bits bytes, whatever the input
+    neutral = spark.sparkContext.broadcast(~told)  # 2 ** bits bytes, whatever the input
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << _PAIR_BITS), np.int64)
+        for batch in batches:
+            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[toxic, near_pairs(words.values.to_numpy(), neutral.value)[0]] += 1
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[:, at].sum(0)), pa.array(total[1, at])], names=["pair", "df", "df_positive"])
+
+    pairs = rows.select("toxic", "words").mapInArrow(count_pairs, "pair long, df long, df_positive long").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("df_positive").alias("df_positive"))
+    linked = pairs.where(_association(F.col("df"), F.col("df_positive"), n, positive) >= min_pair_association) if 0 < positive < n else pairs.where("false")
+    hit = np.zeros(1 << _PAIR_BITS, bool)
+    hit[linked.select("pair").toArrow().column("pair").to_numpy()] = True
+    if hit.any():
+        linked_pairs = spark.sparkContext.broadcast(hit)  # 2 ** 20 bytes, whatever the input
+
+        def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: set[int] = set()
+                for words in batch.column(0):
+                    bucket, a, b = near_pairs(words.values.to_numpy(), neutral.value)
+                    at = linked_pairs.value[bucket]
+                    found.update(a[at].tolist(), b[at].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["term"])
+
+        # At most 2 ** bits rows.
+        told[rows.select("words").mapInArrow(words_of, "term int").distinct().toArrow().column("term").to_numpy()] = True
+        linked_pairs.unpersist()
+    neutral.unpersist()
+    sent = spark.sparkContext.broadcast(told)  # 2 ** bits bytes, whatever the input
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +263,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int,
             ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[kept], pa.int32()))], names=["label_id", "toxic", "terms"])
 
-    found = rows.mapInArrow(keep, made).toArrow()
+    found = rows.select("label_id", "toxic", "terms").mapInArrow(keep, made).toArrow()
     sent.unpersist()
     drop(rows)
     return found
@@ -213,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bits: int
     order = np.argsort(ids, kind="stable")
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate([np.empty(0, np.int32), *(flat[starts[i] : starts[i + 1]] for i in order)])
-    model = fit(flat, sizes[order], toxic[order].astype(np.float64), bits, min_association=min_association, **how)
+    # The terms have been chosen: all that came count.
+    model = fit(flat, sizes[order], toxic[order].astype(np.float64), bits, min_association=0.0, **how)
     del flat
     _give_back(docs.sparkSession)
     return model

@@ -3,11 +3,12 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("quarrix.llm")
-from quarrix.llm import line_dedup, order_minhash, quality  # noqa: E402
+from quarrix.llm import line_dedup, order_minhash, quality, toxicity  # noqa: E402
 from test_against_brute_force import brute_tuples  # noqa: E402
 
 
@@ -123,3 +124,47 @@ def test_fingerprint_tells_changes_inside_words(spark):
     assert min(got) > 0.8
     lead = spark.createDataFrame([("  ab cd ef gh ij", "ab cd ef gh ij")], "a string, b string")
     assert lead.select(order_minhash.likeness(sig(F.col("a")), sig(F.col("b")))).first()[0] < 1
+
+
+def test_toxicity_learns_pairs_of_words_that_are_neutral_alone(spark):
+    """Either word alone is toxic, both or none is not: no word is associated with the label; registered parameters."""
+    rng = random.Random(3)
+    filler, rows = [f"word{a}{b}" for a in "abcdefghijklm" for b in "nopqrstuvwxyz"], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(rng.sample([*rng.choices(filler, k=10), *["snarl"] * a, *["group"] * b], 10 + a + b)), int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, model).join(docs.select("doc_id", "toxic"), "doc_id").where("held_out").selectExpr("avg(if(predicted = toxic, 1, 0))").first()[0]
+    assert got > 0.99
+    # Labels other than 0 and 1 are not learned from, here the same ones made a third value.
+    odd = docs.selectExpr("doc_id", "if(toxic = 1, 2, 0) AS toxic")
+    assert toxicity.labelled_terms(docs.select("doc_id", "text"), odd, 1000, 12).column("toxic").to_pylist() == [0] * 500
+
+
+def test_near_pairs_are_all_within_the_distance():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 40, 200):
+        words, open_ = rng.integers(0, 50, n), rng.random(50) < 0.5
+        want = {tuple(sorted((int(words[i]), int(words[j])))) for i in range(n) for j in range(i + 1, min(n, i + toxicity.NEAR + 1)) if open_[words[i]] and open_[words[j]] and words[i] != words[j]}
+        _, a, b = toxicity.near_pairs(words, open_)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want)
+
+
+def test_line_counts_without_ansi_mode(spark):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        common = "A line of more than forty characters that many share"
+        rows = [(1, "one\ntwo"), (2, None), *[(10 + i, common) for i in range(5)]]
+        got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 40, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got == {1: (2, 0), 2: (1, 0), 10: (1, 1), 11: (1, 1), 12: (1, 1), 13: (1, 1), 14: (1, 0)}
+
+
+def test_quality_needs_the_column_of_hosts(spark):
+    docs = spark.createDataFrame([(i, f"{own('over', 15)}\n{own(i, 10)}") for i in range(20)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="source"):
+        quality.quality(docs)
+    assert not any(r.kept for r in quality.quality(docs, host_col=None).collect())
