@@ -207,13 +207,12 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, per_team: int = 8,
     counts = staged(term_counts(named), "counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).where(F.col("df") >= min_docs)
     kept = staged(kept.select("lang", "term", "n"), "kept")
-    # A row for each language: how many terms it keeps, in how many blocks.
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("terms") / block_terms).cast("int"))
-    langs = staged(langs, "languages")
-    block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
-    spread = kept.join(langs.select("lang", "blocks").hint("merge"), "lang").select("lang", "term", "n", block)
+    # As many blocks for all languages, so that no term meets the others of its language.
+    blocks = max(1, -(-kept.count() // block_terms))
+    spread = kept.select("lang", "term", "n", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"))
     placed = staged(spread.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1), "terms")
     drop(kept)
+    langs = staged(placed.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("total")), "languages")
     used = counts.select(*_GROUP, "term", "n").join(placed.select("lang", "term", "block", "pos").hint("merge"), ["lang", "term"])
     vectors = staged(_packed(used.drop("term"), [*_GROUP, "block"]), "vectors")
     totals = vectors.groupBy(*_GROUP).agg(F.sum("sum").alias("total"))
