@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import drop, staged
+
 KINDS = ("email", "ip", "card", "phone")
 _LABELS = ("outside", *KINDS)
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -332,8 +334,9 @@ def pieces(docs: DataFrame, most: int, text_col: str = "text") -> list[tuple[str
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["kind", "piece"])
 
     made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, piece string").distinct()
-    hashed = made.select("kind", "piece", F.xxhash64("piece").alias("h"))
+    hashed = staged(made.select("kind", "piece", F.xxhash64("piece").alias("h")), "pieces")
     rows = [r for kind in (*KINDS, "none") for r in hashed.where(F.col("kind") == kind).orderBy("h", "piece").limit(most).collect()]
+    drop(hashed)
     return [(r.kind, r.piece) for r in rows]
 
 
