@@ -27,8 +27,22 @@ def tokenize(text: Column, ngram: int = 2) -> Column:
 
     Everything but CJK letters and ``[A-Za-z0-9]`` is a boundary; a null text has no tokens.
     """
+    text = F.coalesce(text, F.lit(""))
+    # Only texts with such letters pay for their n-grams; the others are cut once as a whole.
+    return F.when(contains_cjk(text), _mixed_tokens(text, ngram)).otherwise(_identifier_parts(text))
+
+
+def _identifier_parts(text: Column) -> Column:
+    """Lower-case parts of identifiers in a text without CJK letters."""
+    # What is no identifier becomes a blank before letters are lowered: some others have ASCII lower-case forms.
+    flat = F.when(text.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.regexp_replace(text, f"[^A-Za-z0-9]+|{CAMEL}", " ")).otherwise(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
+    flat = F.trim(F.lower(flat))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+
+
+def _mixed_tokens(text: Column, ngram: int) -> Column:
     n = max(1, int(ngram))
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{CJK}{FOLDED}]+|[A-Za-z0-9]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(f"[{CJK}{FOLDED}]+|[A-Za-z0-9]+"), F.lit(0))
 
     def grams(run: Column) -> Column:
         letters = F.regexp_replace(run, f"[{FOLDED}]", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -30,10 +30,14 @@ def corpus_row(units: DataFrame, tf: DataFrame) -> DataFrame:
     return n.crossJoin(total).select("n_docs", "total_len", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs")).otherwise(0.0).alias("avg_len"))
 
 
+def idf_weight(df: Column, n_docs: int) -> Column:
+    return F.log(1 + (F.lit(n_docs) - df + 0.5) / (df + 0.5))
+
+
 def idf(tf: DataFrame, n_docs: int) -> DataFrame:
     """``term, df, idf`` with ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.select("term", "df", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.select("term", "df", idf_weight(F.col("df"), n_docs).alias("idf"))
 
 
 def idf_or_max(terms: DataFrame, idf_table: DataFrame, n_docs: int) -> DataFrame:

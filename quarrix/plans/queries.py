@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chunking.chunker import chunk_files
+from ..config import RANGES
 from ..functions import text as T
-from ..functions.vectors import dot, normalized
-from ..operators import maintenance, ranking, stats
+from ..functions.vectors import normalized
+from ..operators import batch, deltas, maintenance, ranking, stats
 from ..streaming.watch import debounced, relevant
-from . import literal_queries
 
 # The documents are of invented words: a query must use words of theirs.
 QUERY = "estion ntble queque outre"
@@ -71,9 +71,24 @@ def token_types(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.token_types(F.col("text"))).cast("long").alias("n_types"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]') AS cjk FROM documents")
+# No document of the tables has such letters: vowels become some, in all texts or in those of one language.
+VOWELS, SIGNS = "aeiouAEIOU", "語义搜索引擎ひカ한。"
+MIXED = f"""m AS (SELECT doc_id, translate(text, '{VOWELS}', '{SIGNS}') AS text FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[{SIGNS}]+|[A-Za-z0-9]+')) AS raw FROM m),
+k AS (SELECT doc_id, replace(raw, '。', '') AS run, raw ~ '[A-Za-z0-9]' AS plain FROM r),
+tok AS (SELECT doc_id, unnest(CASE WHEN plain THEN list_transform(string_split({PARTS}, ' '), lambda x: lower(x)) WHEN length(run) <= 2 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: run[i:i + 1]) END) AS term FROM k WHERE run <> '')"""
+
+
+@query(f"SELECT doc_id, regexp_matches(CASE WHEN lang = 'fr' THEN translate(text, '{VOWELS}', '{SIGNS}') ELSE text END, '[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]') AS cjk FROM documents")
 def contains_cjk(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.contains_cjk(F.col("text")).alias("cjk"))
+    text = F.when(F.col("lang") == "fr", F.translate("text", VOWELS, SIGNS)).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.contains_cjk(text).alias("cjk"))
+
+
+@query(f"WITH {MIXED} SELECT doc_id, term, count(*)::BIGINT AS tf FROM tok GROUP BY doc_id, term")
+def cjk_frequencies(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate("text", VOWELS, SIGNS).alias("text"))
+    return stats.term_frequencies(docs, id_col="doc_id").withColumnRenamed("unit_id", "doc_id")
 
 
 @query(f"WITH {TF} SELECT term, {BUCKET} AS h1, {SIGN} AS h2 FROM (SELECT DISTINCT term FROM tf)")
@@ -127,13 +142,13 @@ def _vector(spark, units, tf, idf, limit):
 
 @query(f"WITH {BM25} SELECT unit_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, unit_id LIMIT {TOP}")
 def bm25_topk(spark, sf_dir):
-    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir).persist()
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
     return _lexical(spark, units, tf, TOP)[0].select("unit_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VEC} SELECT unit_id, count(*)::BIGINT AS n, round(sum(w::DOUBLE * w::DOUBLE), 5) AS norm, round(sum(w::DOUBLE * bucket), 4) AS moment FROM vec GROUP BY unit_id")
 def hashed_tfidf(spark, sf_dir):
-    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir).persist()
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
     v = ranking.hashed_vectors(tf, stats.idf(tf, units.count()), DIM)
     w = F.col("w").cast("double")
     return v.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(w * w), 5).alias("norm"), F.round(F.sum(w * F.col("bucket")), 4).alias("moment"))
@@ -141,7 +156,7 @@ def hashed_tfidf(spark, sf_dir):
 
 @query(f"WITH {QVEC} SELECT unit_id, round(score, 6) AS score FROM cos ORDER BY cos.score DESC, unit_id LIMIT {TOP}")
 def cosine_topk_hashed(spark, sf_dir):
-    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir).persist()
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
     return _vector(spark, units, tf, stats.idf(tf, units.count()), TOP).select("unit_id", F.round("score", 6).alias("score"))
 
 
@@ -168,16 +183,17 @@ FROM a FULL JOIN b ON a.unit_id = b.unit_id ORDER BY score DESC, 1 LIMIT {TOP}""
 
 @query(HYBRID)
 def hybrid_search(spark, sf_dir):
-    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir).persist()
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
     lexical, idf = _lexical(spark, units, tf, CHANNEL)
     found = ranking.fuse(_vector(spark, units, tf, idf, CHANNEL), lexical, RRF, TOP)
     return found.select("unit_id", F.round("score", 9).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS language, lower(CASE WHEN contains(url, '.') THEN split_part(url, '.', -1) END) AS extension FROM pages")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'typescript' WHEN 'fr' THEN 'kotlin' END AS language FROM documents")
 def language_for_path(spark, sf_dir):
-    # No page's address ends in a known source extension; tests cover those that do.
-    return _table(spark, sf_dir, "pages").select("page_id", T.language_for_path(F.col("url")).alias("language"), F.when(F.instr("url", ".") > 0, F.lower(F.substring_index("url", ".", -1))).alias("extension"))
+    """Paths with an extension for each language of the documents; ``log`` is none that is known."""
+    extension = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "de", "d.TS").when(F.col("lang") == "fr", "kts").otherwise("log")
+    return _table(spark, sf_dir, "documents").select("doc_id", T.language_for_path(F.concat(F.lit("v1.2/"), "source", F.lit("."), extension)).alias("language"))
 
 
 @query("SELECT page_id FROM pages WHERE regexp_full_match(split_part(url, '/', -1), '[^/]*\\.html')")
@@ -190,15 +206,24 @@ def ignore_filter(spark, sf_dir):
     return _table(spark, sf_dir, "pages").where(~T.is_ignored(F.col("url"), ("en", "*//*/de"))).select("page_id")
 
 
-@query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= 500000")
+MAX_BYTES, MAX_CHUNKS = RANGES["max_total_bytes"][0], RANGES["max_chunks"][0]
+BYTES = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes FROM documents"
+LINES = "SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_chunks FROM documents"
+
+
+def _n_lines(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_chunks"))
+
+
+@query(f"SELECT doc_id, bytes FROM (SELECT *, sum(bytes) OVER (ORDER BY doc_id) AS total FROM ({BYTES})) WHERE total <= {MAX_BYTES}")
 def byte_cap(spark, sf_dir):
-    return maintenance.within_bytes(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 500_000, "doc_id", "n_chars")
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return maintenance.within_bytes(files, MAX_BYTES, "doc_id", "bytes")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, sum(len(string_split(text, chr(10)))) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total - n < 1000")
+@query(f"SELECT doc_id FROM (SELECT *, sum(n_chunks) OVER (ORDER BY doc_id) AS total FROM ({LINES})) WHERE total - n_chunks < {MAX_CHUNKS}")
 def chunk_cap(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_chunks"))
-    return maintenance.within_chunks(docs, 1000, strict=False, order="doc_id").select("doc_id")
+    return maintenance.within_chunks(_n_lines(spark, sf_dir), MAX_CHUNKS, strict=False, order="doc_id").select("doc_id")
 
 
 def _listings(spark, sf_dir):
@@ -232,10 +257,9 @@ def changed_files(spark, sf_dir):
     return maintenance.only_files(old, refresh_changes(spark, sf_dir).where("change = 'updated'")).select("doc_id")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, sum(len(string_split(text, chr(10)))) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= 1000")
+@query(f"SELECT doc_id FROM (SELECT *, sum(n_chunks) OVER (ORDER BY doc_id) AS total FROM ({LINES})) WHERE total <= {MAX_CHUNKS}")
 def chunk_cap_strict(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_chunks"))
-    return maintenance.within_chunks(docs, 1000, strict=True, order="doc_id").select("doc_id")
+    return maintenance.within_chunks(_n_lines(spark, sf_dir), MAX_CHUNKS, strict=True, order="doc_id").select("doc_id")
 
 
 PLAIN = """WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM documents WHERE text <> ''),
@@ -278,5 +302,49 @@ def watch_filter(spark, sf_dir):
     return relevant(_table(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", "^https?://", "")), ("fr",)).select("page_id")
 
 
-QUERIES.update(literal_queries.QUERIES)
-ORACLE_SQL.update(literal_queries.ORACLE_SQL)
+# Searches: every row whose id is divisible by 100 asks, all rows answer.
+DENSE_MANY = """WITH s AS (SELECT q.vec_id AS query_id, u.vec_id AS unit_id, round(list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings u WHERE q.vec_id % 100 = 0)
+SELECT query_id, unit_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INT AS rank FROM s QUALIFY rank <= 20"""
+LEX_MANY = "lex AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM (SELECT q.unit_id AS query_id, tf.unit_id, round(sum(idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl / (SELECT a FROM avgl)))), 9) AS score FROM tf q JOIN tf ON q.term = tf.term JOIN idf ON idf.term = tf.term JOIN dl ON dl.unit_id = tf.unit_id WHERE q.unit_id % 100 = 0 GROUP BY ALL) QUALIFY r <= {n})"
+COS_MANY = "cos AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM (SELECT q.doc_id AS query_id, u.doc_id AS unit_id, round(coalesce(s, 0.0), 9) AS score FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT unit_id FROM tf)) q CROSS JOIN documents u LEFT JOIN (SELECT a.unit_id AS query_id, b.unit_id, sum(a.w::DOUBLE * b.w::DOUBLE) AS s FROM vec a JOIN vec b USING (bucket) WHERE a.unit_id % 100 = 0 GROUP BY ALL) x ON x.query_id = q.doc_id AND x.unit_id = u.doc_id) QUALIFY r <= {n})"
+
+
+@query(DENSE_MANY)
+def cosine_many(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("v"))
+    asked = vectors.where("unit_id % 100 = 0").withColumnRenamed("unit_id", "query_id")
+    return batch.dense_top(vectors, asked, TOP).withColumn("score", F.round("score", 6))
+
+
+def _lexical_many(units, tf, limit):
+    row = stats.corpus_row(units, tf).first()
+    weights = batch.bm25_weights(tf, stats.idf(tf, row.n_docs), stats.doc_lengths(tf), row.avg_len)
+    asked = tf.where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), F.col("term").alias("key"), F.lit(1.0).alias("qw"))
+    return batch.sparse_top(weights, asked, limit)
+
+
+@query(f"WITH {DL}, {LEX_MANY.format(n=TOP)} SELECT query_id, unit_id, round(score, 6) AS score, r::INT AS rank FROM lex")
+def bm25_many(spark, sf_dir):
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
+    return _lexical_many(units, tf, TOP).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {VEC}, {LEX_MANY.format(n=CHANNEL).replace('lex AS', 'lexm AS')}, {COS_MANY.format(n=CHANNEL)},
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(1.0::DOUBLE / ({RRF} + a.r), 0) + coalesce(1.0::DOUBLE / ({RRF} + b.r), 0) AS score, a.score AS vector_score, b.score AS lexical_score FROM cos a FULL JOIN lexm b ON a.query_id = b.query_id AND a.unit_id = b.unit_id)
+SELECT query_id, unit_id, round(score, 9) AS score, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INT AS rank FROM f QUALIFY rank <= {TOP}""")
+def hybrid_many(spark, sf_dir):
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
+    vectors = ranking.hashed_vectors(tf, stats.idf(tf, units.count()), DIM).select("unit_id", F.col("bucket").alias("key"), "w")
+    asked = vectors.where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), "key", F.col("w").alias("qw"))
+    found = batch.fuse_many(batch.sparse_top(vectors, asked, CHANNEL, units), _lexical_many(units, tf, CHANNEL), RRF, TOP)
+    return found.withColumn("score", F.round("score", 9)).withColumn("vector_score", F.round("vector_score", 6)).withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query(f"WITH {TF}, k AS (SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0), n AS (SELECT count(*) AS n FROM k), t AS (SELECT term, count(*)::BIGINT AS df FROM tf WHERE unit_id IN (SELECT doc_id FROM k) GROUP BY term) SELECT term, df, round(ln(1 + ((SELECT n FROM n) - df + 0.5) / (df + 0.5)), 9) AS idf FROM t")
+def statistics_after_changes(spark, sf_dir):
+    """Frequencies of the documents before, changed by those that came and went, as a recount gives them."""
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
+    before = stats.idf(tf.where("unit_id % 7 <> 0"), 1).select("term", "df")
+    signed = deltas.signed_postings(tf.where("unit_id % 7 = 0"), tf.where("unit_id % 7 <> 0 AND unit_id % 11 = 0"))
+    n = units.where("unit_id % 7 = 0 OR unit_id % 11 <> 0").count()
+    return deltas.idf_of(deltas.merged_df(before, deltas.term_changes(signed)), n).withColumn("idf", F.round("idf", 9))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 FORMAT_VERSION = 4
 # Beside the raw tables, what a search would else compute anew from all of them.
 TABLES = ("files", "chunks", "tf", "idf", "lengths", "sparse", "vectors")
-# Sorted by what a search filters on, so that statistics of row groups let it skip the rest.
-SORTED = {"tf": "term", "idf": "term", "sparse": "bucket"}
+# Sorted by what a search filters on, so that statistics of row groups let it skip the rest; by unit too, so that a frequent term or bucket spreads over files.
+SORTED = {"tf": ("term", "unit_id"), "idf": ("term",), "sparse": ("bucket", "unit_id")}
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def save(folder: str, tables: dict[str, DataFrame], meta: Meta) -> str:
     for table in TABLES:
         rows = tables[table]
         if key := SORTED.get(table):
-            rows = rows.repartitionByRange(key).sortWithinPartitions(key)
+            rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
         rows.write.parquet(os.path.join(home, table))
     with open(os.path.join(home, "meta.json"), "w", encoding="utf-8") as f:
         json.dump(asdict(meta), f)

@@ -1,50 +1,28 @@
-"""Queries over inputs given here, with their results as rows of VALUES: operators that the driver's tables do not exercise."""
+"""Operators over inputs given here, against the rows they must give."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pytest
 from pyspark.sql import functions as F
 
-from ..chunking.chunker import Masker, _indent, chunk_files
-from ..chunking.languages import BY_EXTENSION, is_known_source, language_of
-from ..config import RANGES, EngineConfig, ProviderConfig, in_range
-from ..functions import text as T
-from ..operators import maintenance, ranking
-from ..sources import workspace
-from ..streaming.watch import snapshot_changes
-from .index import RetrievalIndex
+from quarrix.chunking.chunker import Masker, _indent, chunk_files
+from quarrix.chunking.languages import BY_EXTENSION, is_known_source, language_of
+from quarrix.config import RANGES, EngineConfig, ProviderConfig, in_range
+from quarrix.functions import text as T
+from quarrix.operators import maintenance, ranking
+from quarrix.plans.index import RetrievalIndex
+from quarrix.sources import workspace
+from quarrix.streaming.watch import snapshot_changes
 
-
-def _sql(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, str):
-        parts = ["'" + x.replace("'", "''") + "'" for x in value.split("\n")]
-        return "(" + " || chr(10) || ".join(parts) + ")"
-    return repr(value)
-
-
-def values(schema: str, rows: list[tuple]) -> str:
-    """``SELECT`` of the rows with DuckDB types for ``name type`` pairs of Spark's."""
-    kinds = {"int": "INTEGER", "long": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
-    pairs = [c.strip().split(" ") for c in schema.split(",")]
-    casts = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in pairs)
-    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) AS t({', '.join(n for n, _ in pairs)})"
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+CASES: dict = {}
 
 
 def query(schema: str, rows: list[tuple]):
     def register(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = values(schema, rows)
+        CASES[f.__name__] = (f, schema, rows)
         return f
 
     return register
@@ -57,7 +35,7 @@ TOKENS = [
 
 
 @query("id int, tokens string, cjk boolean", [(i, t, bool(x) and any(c > "\u3040" for c in x) and x != "。。" if x is not None else None) for i, x, t in TOKENS])
-def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cjk_tokens(spark, sf_dir):
     rows = spark.createDataFrame([(i, x) for i, x, _ in TOKENS], "id int, text string")
     return rows.select("id", F.array_join(T.tokenize(F.col("text")), "|").alias("tokens"), T.contains_cjk(F.col("text")).alias("cjk"))
 
@@ -234,3 +212,11 @@ def workspace_refresh(spark, sf_dir):
     done.append(("refresh", index.build("refresh")))
     done += [("file", index.reindex_file("new.go")), ("gone", index.reindex_file("missing.go") if index.remove_file("z/note.md") else None)]
     return spark.createDataFrame([(k, r.added, r.updated, r.removed, r.unchanged, r.files) for k, r in done], "step string, added int, updated int, removed int, unchanged int, files long")
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_literal_case(spark, name):
+    f, schema, rows = CASES[name]
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    got = [tuple(r[n] for n in names) for r in f(spark, "").select(*names).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in rows)
