@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..chunking.chunker import chunk_files
 from ..config import EngineConfig
 from ..functions.text import snippet, token_types, tokenize
-from ..operators import maintenance, ranking, stats
+from ..operators import deltas, maintenance, ranking, stats
 from ..sources import store, workspace
 from ..sources.providers import FALLBACK_DIMENSION, Client, LexicalProvider, create_provider
 from ..streaming.watch import DirWatcher, Refresher
@@ -45,6 +45,10 @@ class SearchResult:
     hits: list[dict]
 
 
+class _ProviderChanged(Exception):
+    """Embedding fell back to another provider during a refresh."""
+
+
 class RetrievalIndex:
     """Raw term frequencies are stored; weights that depend on the whole corpus are applied when read."""
 
@@ -159,59 +163,94 @@ class RetrievalIndex:
             return True
 
     def _publish(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool) -> BuildResult:
-        """Chunks the fresh files, replaces those of the same name among the remaining ones, and writes a snapshot with all that a search needs."""
-        n_held, last_id = 0, 0
-        if before:
-            n_held = before["chunks"].join(remaining.select("file_id"), "file_id", "left_semi").count()
-            last_id = before["chunks"].agg(F.max("chunk_id")).first()[0] or 0
+        """Writes the fresh files as a segment, and a snapshot in which they replace those of the same name among the remaining ones.
+
+        Statistics follow the postings that came and went.  A build that fails
+        or is aborted leaves no segment behind.
+        """
+        provider, segment = self.provider, store.new_segment()
         cut = chunk_files(fresh.select("file_id", "rel", "content"), self.config.max_lines_per_chunk).persist()
         try:
-            narrow = [c.strip().split(" ")[0] for c in FILES.split(",")]
-            per_file = fresh.select(*narrow).join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id")
-            if before:
-                replaced = remaining.select("rel", F.col("file_id").alias("old_id")).join(before["chunks"].groupBy(F.col("file_id").alias("old_id")).agg(F.count(F.lit(1)).alias("n_old")), "old_id").select("rel", "n_old")
-                per_file = per_file.join(replaced, "rel", "left").fillna(0, ["n_old"])
-                taken = maintenance.within_budget(per_file, n_held, self.config.max_chunks, "file_ord", "n_chunks", "n_old").drop("n_old")
-            else:
-                taken = maintenance.within_chunks(per_file, self.config.max_chunks, strict)
-            # As many rows as the driver has listed: their names and numbers only.
-            rows = taken.select(*narrow, "n_chunks").orderBy("file_ord").collect()
-            truncated = truncated or len(rows) < per_file.count()
-            taken = self.spark.createDataFrame(rows, f"{FILES}, n_chunks long")
-            kept = maintenance.without_files(remaining, taken)
-            # Ids follow file order, then line: they decide ties.
-            starts = maintenance.running_total(taken, "file_ord", "n_chunks").select("file_id", "language", (F.col("total") - F.col("n_chunks") + last_id).alias("base"))
-            numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
-            order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
-            chunks, files = numbered.select(*order), taken.drop("n_chunks")
-            tf = stats.term_frequencies(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), self.config.ngram)
-            vectors = self._vectors(chunks)
-            if before:
-                held = before["chunks"].join(kept.select("file_id"), "file_id", "left_semi")
-                ids = held.select(F.col("chunk_id").alias("unit_id"))
-                chunks, files = held.select(*order).unionByName(chunks), kept.unionByName(files)
-                tf = before["tf"].join(ids, "unit_id", "left_semi").unionByName(tf)
-                vectors = self._vectors(chunks) if self.provider.local else before["vectors"].join(ids, "unit_id", "left_semi").unionByName(vectors)
-            n = chunks.count()
-            tf = tf.persist()
-            units = chunks.select(F.col("chunk_id").alias("unit_id"))
-            corpus = stats.corpus_row(units, tf).first()
-            idf = stats.idf(tf, n)
-            sparse = self.spark.createDataFrame([], "unit_id long, bucket int, w float")
-            if self.provider.local:
-                # The vector channel always uses pairs of letters, whatever the index uses.
-                pairs = tf if self.config.ngram == 2 else stats.term_frequencies(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")))
-                sparse = ranking.hashed_vectors(pairs, idf, self.provider.dimension)
-            meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, corpus.avg_len)
-            tables = {"files": files, "chunks": chunks, "tf": tf, "idf": idf, "lengths": stats.doc_lengths(tf), "sparse": sparse, "vectors": vectors}
-            home = store.save(self.config.data_dir, tables, meta)
-            tf.unpersist()
+            return self._write(remaining, before, fresh, truncated, strict, cut, segment)
+        except _ProviderChanged:
+            # The held vectors are another provider's: nothing of them can stay.
+            return self._full()
+        except BaseException:
+            store.discard(self.config.data_dir, segment)
+            if not self.config.allow_fallback:
+                self.provider = provider
+            raise
         finally:
             cut.unpersist()
-        self.tables = {t: self.spark.read.parquet(f"{home}/{t}") for t in store.TABLES}
-        self.meta = meta
+
+    def _write(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool, cut: DataFrame, segment: str) -> BuildResult:
+        folder, spark = self.config.data_dir, self.spark
+        narrow = [c.strip().split(" ")[0] for c in FILES.split(",")]
+        per_file = fresh.select(*narrow).join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id")
+        gone: list[int] = []
+        n_held, last_id, held_len = 0, 0, 0
+        if before:
+            dropped = before["files"].join(remaining.select("file_id"), "file_id", "left_anti")
+            gone = [r.file_id for r in dropped.select("file_id").collect()]
+            n_gone = before["chunks"].join(F.broadcast(dropped.select("file_id")), "file_id", "left_semi").count() if gone else 0
+            n_held, held_len = self.meta.n_chunks - n_gone, self.meta.total_len
+            last_id = before["chunks"].agg(F.max("chunk_id")).first()[0] or 0
+            replaced = remaining.join(fresh.select("rel"), "rel", "left_semi").select("rel", F.col("file_id").alias("old_id"))
+            counts = before["chunks"].groupBy(F.col("file_id").alias("old_id")).agg(F.count(F.lit(1)).alias("n_old"))
+            per_file = per_file.join(replaced.join(counts, "old_id").select("rel", "n_old"), "rel", "left").fillna(0, ["n_old"])
+            taken = maintenance.within_budget(per_file, n_held, self.config.max_chunks, "file_ord", "n_chunks", "n_old")
+        else:
+            taken = maintenance.within_chunks(per_file.withColumn("n_old", F.lit(0)), self.config.max_chunks, strict)
+        # As many rows as the driver has listed: their names and numbers only.
+        rows = taken.select(*narrow, "n_chunks", "n_old").orderBy("file_ord").collect()
+        truncated = truncated or len(rows) < per_file.count()
+        taken = spark.createDataFrame(rows, f"{FILES}, n_chunks long, n_old long")
+        if before and rows:
+            gone += [r.file_id for r in remaining.join(F.broadcast(taken.select("rel")), "rel", "left_semi").select("file_id").collect()]
+        # Ids follow file order, then line: they decide ties.
+        starts = maintenance.running_total(taken, "file_ord", "n_chunks").select("file_id", "language", (F.col("total") - F.col("n_chunks") + last_id).alias("base"))
+        numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
+        order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
+        chunks = store.write_table(folder, segment, "chunks", numbered.select(*order))
+        store.write_table(folder, segment, "files", taken.drop("n_chunks", "n_old"))
+        vectors = self._vectors(chunks)
+        if before and self.meta.provider_id != self.provider.id:
+            store.discard(folder, segment)
+            raise _ProviderChanged
+        of_chunk = chunks.select(F.col("chunk_id").alias("unit_id"), "file_id")
+        store.write_table(folder, segment, "vectors", vectors.join(of_chunk, "unit_id"))
+        texts = chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text"))
+        tf = store.write_table(folder, segment, "tf", stats.term_frequencies(texts, self.config.ngram).join(of_chunk, "unit_id"))
+        store.write_table(folder, segment, "lengths", tf.groupBy("unit_id", "file_id").agg(F.sum("tf").alias("dl")))
+        if self.provider.local:
+            # The vector channel always uses pairs of letters, whatever the index uses.
+            pairs = tf if self.config.ngram == 2 else stats.term_frequencies(texts).join(of_chunk, "unit_id")
+            store.write_table(folder, segment, "sparse", ranking.bucket_postings(pairs, self.provider.dimension))
+        else:
+            store.write_table(folder, segment, "sparse", spark.createDataFrame([], "term string, unit_id long, file_id long, bucket int, s double"))
+        lost = before["tf"].join(F.broadcast(spark.createDataFrame([(x,) for x in gone], "file_id long")), "file_id", "left_semi") if gone else tf.where("false")
+        signed = deltas.signed_postings(tf, lost)
+        df = deltas.merged_df(before["df"] if before else spark.createDataFrame([], "term string, df long"), deltas.term_changes(signed))
+        n = n_held - sum(r.n_old for r in rows) + sum(r.n_chunks for r in rows)
+        total = held_len + (signed.agg(F.sum(F.col("sign") * F.col("tf"))).first()[0] or 0)
+        segments = (*(self.meta.segments if before else ()), segment)
+        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, total, segments, (*(self.meta.gone if before else ()), *gone))
+        if len(segments) > store.MAX_SEGMENTS:
+            meta = self._compacted(meta)
+        tables = store.open_tables(spark, folder, "", meta, statistics=False)
+        weighted = deltas.idf_of(df, n)
+        home = store.save(folder, {"df": df, "norms": ranking.vector_norms(tables["sparse"], weighted)}, meta)
+        self.tables, self.meta = store.open_tables(spark, folder, home, meta), meta
         return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated, taken=[r.rel for r in rows])
 
+    def _compacted(self, meta: store.Meta) -> store.Meta:
+        """All live rows in one new segment."""
+        whole = store.new_segment()
+        live = store.open_tables(self.spark, self.config.data_dir, "", meta, statistics=False)
+        for table, rows in live.items():
+            store.write_table(self.config.data_dir, whole, table, rows)
+        return replace(meta, segments=(whole,), gone=())
+
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         """Dense vectors of a client; none for the local provider, whose weights are applied when searching."""
         if not self.provider.local:
@@ -241,12 +280,13 @@ class RetrievalIndex:
         # A constant: no job is needed to tokenize the query.
         asked = self.spark.sql("SELECT 1").select(token_types(F.lit(query), self.config.ngram).alias("types"), tokenize(F.lit(query)).alias("tokens")).first()
         terms = list(dict.fromkeys([*asked.types, *asked.tokens]))
-        idf = {r.term: r.idf for r in t["idf"].where(F.col("term").isin(terms)).select("term", "idf").collect()} if terms else {}
+        weighted = deltas.idf_of(t["df"], self.meta.n_chunks)
+        idf = {r.term: r.idf for r in weighted.where(F.col("term").isin(terms)).select("term", "idf").collect()} if terms else {}
         lexical = ranking.top(ranking.bm25_of_terms(t["tf"], {x: idf.get(x) for x in asked.types}, t["lengths"], self.meta.avg_len), limit)
         degraded = self.degraded
         if self.provider.local:
             found = ranking.query_vector(Counter(asked.tokens), idf, self.provider.dimension)
-            vector = ranking.top(ranking.cosine_of_buckets(units, t["sparse"], found), limit)
+            vector = ranking.cosine_of_postings(units, t["sparse"], weighted, t["norms"], found, limit)
         else:
             try:
                 vectors = self.provider.embed_texts([query])[0]
@@ -281,4 +321,4 @@ class RetrievalIndex:
             if not self.ready:
                 return base | {"files": 0, "chunks": 0, "terms": 0, "bytes": 0, "built_at": None, "truncated": False}
             files = self.tables["files"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
-            return base | {"files": files.n, "chunks": self.meta.n_chunks, "terms": stats.vocabulary_size(self.tables["tf"]).first()[0], "bytes": files.b, "built_at": self.meta.built_at, "truncated": self.meta.truncated}
+            return base | {"files": files.n, "chunks": self.meta.n_chunks, "terms": self.tables["df"].count(), "bytes": files.b, "built_at": self.meta.built_at, "truncated": self.meta.truncated}

@@ -1,7 +1,11 @@
-"""Sink and source: versioned snapshots of an index as Parquet tables.
-
-A snapshot is written beside the current one and published by one rename of a
-small pointer file, so readers see all of its tables or none.
+"""Sink and source: snapshots of an index over immutable segments of Parquet tables.
+
+A segment holds what one build or refresh read anew and never changes.  A
+snapshot names its segments and the files of theirs that are gone, and has the
+statistics of the whole corpus; weights that depend on these are applied when
+reading.  A refresh thus writes its own files and statistics.  A snapshot is
+published by one rename of a small pointer file, so readers see all of its
+tables or none.  Beyond a number of segments, all live rows go to a new one.
 """
 
 from __future__ import annotations
@@ -10,15 +14,18 @@ import json
 import os
 import shutil
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FORMAT_VERSION = 4
-# Beside the raw tables, what a search would else compute anew from all of them.
-TABLES = ("files", "chunks", "tf", "idf", "lengths", "sparse", "vectors")
+FORMAT_VERSION = 5
+SEGMENT_TABLES = ("files", "chunks", "tf", "lengths", "sparse", "vectors")
+SNAPSHOT_TABLES = ("df", "norms")
+TABLES = (*SEGMENT_TABLES, *SNAPSHOT_TABLES)
 # Sorted by what a search filters on, so that statistics of row groups let it skip the rest; by unit too, so that a frequent term or bucket spreads over files.
-SORTED = {"tf": ("term", "unit_id"), "idf": ("term",), "sparse": ("bucket", "unit_id")}
+SORTED = {"tf": ("term", "unit_id"), "sparse": ("bucket", "unit_id"), "df": ("term",)}
+MAX_SEGMENTS = 8
 
 
 @dataclass(frozen=True)
@@ -30,9 +37,15 @@ class Meta:
     built_at: int
     truncated: bool
     n_chunks: int
-    avg_len: float = 0.0
+    total_len: int = 0
+    segments: tuple[str, ...] = ()
+    gone: tuple[int, ...] = field(default=(), repr=False)  # files of the segments that no longer count, at most as many as the scan lists
     version: int = FORMAT_VERSION
 
+    @property
+    def avg_len(self) -> float:
+        return self.total_len / self.n_chunks if self.n_chunks else 0.0
+
 
 @dataclass
 class Loaded:
@@ -46,30 +59,73 @@ def _pointer(folder: str) -> str:
     return os.path.join(folder, "CURRENT")
 
 
-def save(folder: str, tables: dict[str, DataFrame], meta: Meta) -> str:
-    """Writes all tables, publishes them, then removes snapshots that are neither this one nor its predecessor."""
+def _write(rows: DataFrame, table: str, path: str) -> None:
+    if key := SORTED.get(table):
+        rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    rows.write.parquet(path)
+
+
+def write_table(folder: str, segment: str, table: str, rows: DataFrame) -> DataFrame:
+    """Adds a table to a segment that no snapshot names yet, and reads it back."""
+    path = os.path.join(folder, segment, table)
+    _write(rows, table, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def new_segment() -> str:
+    return f"seg-{uuid.uuid4().hex}"
+
+
+def discard(folder: str, segment: str) -> None:
+    """Removes a segment that was not published."""
+    shutil.rmtree(os.path.join(folder, segment), ignore_errors=True)
+
+
+def save(folder: str, statistics: dict[str, DataFrame], meta: Meta) -> str:
+    """Writes the statistics, publishes the snapshot, then removes what neither it nor its predecessor names."""
     if meta.n_chunks and meta.dimension <= 0:
         raise ValueError("an index with chunks needs a known dimension")
     name = f"v-{uuid.uuid4().hex}"
     home = os.path.join(folder, name)
-    for table in TABLES:
-        rows = tables[table]
-        if key := SORTED.get(table):
-            rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
-        rows.write.parquet(os.path.join(home, table))
-    with open(os.path.join(home, "meta.json"), "w", encoding="utf-8") as f:
-        json.dump(asdict(meta), f)
+    try:
+        for table in SNAPSHOT_TABLES:
+            _write(statistics[table], table, os.path.join(home, table))
+        with open(os.path.join(home, "meta.json"), "w", encoding="utf-8") as f:
+            json.dump(asdict(meta), f)
+    except BaseException:
+        shutil.rmtree(home, ignore_errors=True)
+        raise
     before = current(folder)
     fresh = f"{_pointer(folder)}.{uuid.uuid4().hex}"
     with open(fresh, "w", encoding="utf-8") as f:
         f.write(name)
     os.replace(fresh, _pointer(folder))
+    kept = {name, before, *meta.segments}
+    try:
+        kept.update(_read_meta(os.path.join(folder, before)).segments if before else ())
+    except (OSError, ValueError, TypeError):
+        pass  # an unreadable predecessor keeps nothing
     for old in os.listdir(folder):
-        if old.startswith("v-") and old not in (name, before):
+        if old.startswith(("v-", "seg-")) and old not in kept:
             shutil.rmtree(os.path.join(folder, old), ignore_errors=True)
     return home
 
 
+def _read_meta(home: str) -> Meta:
+    with open(os.path.join(home, "meta.json"), encoding="utf-8") as f:
+        found = json.load(f)
+    return Meta(**found | {k: tuple(found.get(k, ())) for k in ("segments", "gone")})
+
+
+def open_tables(spark: SparkSession, folder: str, home: str, meta: Meta, statistics: bool = True) -> dict[str, DataFrame]:
+    """The tables of a snapshot: rows of its segments whose file still counts, and its statistics if it has any yet."""
+    tables = {t: spark.read.parquet(*[os.path.join(folder, s, t) for s in meta.segments]) for t in SEGMENT_TABLES}
+    if meta.gone:
+        gone = F.broadcast(spark.createDataFrame([(x,) for x in meta.gone], "file_id long"))
+        tables = {t: rows.join(gone, "file_id", "left_anti") for t, rows in tables.items()}
+    return tables | ({t: spark.read.parquet(os.path.join(home, t)) for t in SNAPSHOT_TABLES} if statistics else {})
+
+
 def current(folder: str) -> str | None:
     try:
         with open(_pointer(folder), encoding="utf-8") as f:
@@ -84,8 +140,7 @@ def load(spark: SparkSession, folder: str, provider_id: str, dimension: int = 0)
         return Loaded("empty")
     home = os.path.join(folder, name)
     try:
-        with open(os.path.join(home, "meta.json"), encoding="utf-8") as f:
-            meta = Meta(**json.load(f))
+        meta = _read_meta(home)
     except (OSError, ValueError, TypeError) as e:
         return Loaded("stale", reason=f"unreadable: {e}")
     reason = None
@@ -98,9 +153,11 @@ def load(spark: SparkSession, folder: str, provider_id: str, dimension: int = 0)
     if reason:
         return Loaded("stale", meta, reason=reason)
     try:
-        tables = {t: spark.read.parquet(os.path.join(home, t)) for t in TABLES}
-        if (found := tables["chunks"].count()) != meta.n_chunks:
-            return Loaded("stale", meta, reason=f"{found} chunks of {meta.n_chunks}")
+        tables = open_tables(spark, folder, home, meta)
+        # Vectors of a client are one for each chunk.
+        for table in ("chunks", *(["vectors"] if meta.provider_kind != "lexical" else [])):
+            if (found := tables[table].count()) != meta.n_chunks:
+                return Loaded("stale", meta, reason=f"{found} {table} of {meta.n_chunks}")
     except Exception as e:  # a table is missing or broken: whatever the reader raises, the index is rebuilt
         return Loaded("stale", meta, reason=f"unreadable: {str(e)[:200]}")
     return Loaded("loaded", meta, tables)
@@ -109,7 +166,7 @@ def load(spark: SparkSession, folder: str, provider_id: str, dimension: int = 0)
 def clear(folder: str) -> None:
     if os.path.isdir(folder):
         for name in os.listdir(folder):
-            if name.startswith("v-"):
+            if name.startswith(("v-", "seg-")):
                 shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
             elif name.startswith("CURRENT"):
                 os.unlink(os.path.join(folder, name))
