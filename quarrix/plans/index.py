@@ -108,13 +108,19 @@ class RetrievalIndex:
         gone = self.spark.createDataFrame([(r,) for r, v in known.items() if v == "removed" and r not in kept_binary], "rel string")
         remaining = maintenance.without_files(old, gone)
         changed = self.spark.createDataFrame([(r,) for r, v in known.items() if v in ("added", "updated")], "rel string")
-        highest = old.agg(F.max("file_id")).first()[0] or 0
-        fresh = maintenance.only_files(scanned, changed).withColumn("file_id", F.col("file_ord") + F.lit(highest + 1))
-        held = remaining.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        fresh = fresh.join(remaining.select("rel", F.col("bytes").alias("old_bytes")), "rel", "left").fillna(0, ["old_bytes"])
-        fits = maintenance.within_budget(fresh, held, self.config.max_total_bytes, "file_ord", "bytes", "old_bytes").drop("old_bytes")
+        # Again as many rows as listed.
+        sizes = {r.rel: r for r in old.select("rel", "bytes", "file_id").collect()}
+        highest = max((r.file_id for r in sizes.values()), default=0)
+        total = sum(r.bytes for r in sizes.values() if not (known.get(r.rel) == "removed" and r.rel not in kept_binary))
+        fitting: list[tuple[str]] = []
+        for r in maintenance.only_files(scanned, changed).select("rel", "bytes", "file_ord").orderBy("file_ord").collect():
+            total += r.bytes - (sizes[r.rel].bytes if r.rel in sizes else 0)
+            if total > self.config.max_total_bytes:
+                break
+            fitting.append((r.rel,))
+        fits = maintenance.only_files(scanned, self.spark.createDataFrame(fitting, "rel string")).withColumn("file_id", F.col("file_ord") + F.lit(highest + 1))
         wanted = sum(v in ("added", "updated") for v in known.values())
-        cut_short = not complete or retained or fits.count() < wanted
+        cut_short = not complete or retained or len(fitting) < wanted
         if not (wanted or counts["removed"]):
             out = BuildResult("refresh", files=old.count(), chunks=self.meta.n_chunks, truncated=cut_short)
         else:
@@ -186,33 +192,35 @@ class RetrievalIndex:
     def _write(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool, cut: DataFrame, segment: str) -> BuildResult:
         folder, spark = self.config.data_dir, self.spark
         narrow = [c.strip().split(" ")[0] for c in FILES.split(",")]
-        per_file = fresh.select(*narrow).join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id")
-        gone: list[int] = []
-        n_held, last_id, held_len = 0, 0, 0
+        # Names and numbers of files, at most as many as the driver has listed.
+        found = fresh.select(*narrow).join(cut.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks")), "file_id").collect()
+        found.sort(key=lambda r: r.file_ord)
+        held: list = []
         if before:
-            dropped = before["files"].join(remaining.select("file_id"), "file_id", "left_anti")
-            gone = [r.file_id for r in dropped.select("file_id").collect()]
-            n_gone = before["chunks"].join(F.broadcast(dropped.select("file_id")), "file_id", "left_semi").count() if gone else 0
-            n_held, held_len = self.meta.n_chunks - n_gone, self.meta.total_len
-            last_id = before["chunks"].agg(F.max("chunk_id")).first()[0] or 0
-            replaced = remaining.join(fresh.select("rel"), "rel", "left_semi").select("rel", F.col("file_id").alias("old_id"))
-            counts = before["chunks"].groupBy(F.col("file_id").alias("old_id")).agg(F.count(F.lit(1)).alias("n_old"))
-            per_file = per_file.join(replaced.join(counts, "old_id").select("rel", "n_old"), "rel", "left").fillna(0, ["n_old"])
-            taken = maintenance.within_budget(per_file, n_held, self.config.max_chunks, "file_ord", "n_chunks", "n_old")
-        else:
-            taken = maintenance.within_chunks(per_file.withColumn("n_old", F.lit(0)), self.config.max_chunks, strict)
-        # As many rows as the driver has listed: their names and numbers only.
-        rows = taken.select(*narrow, "n_chunks", "n_old").orderBy("file_ord").collect()
-        truncated = truncated or len(rows) < per_file.count()
-        taken = spark.createDataFrame(rows, f"{FILES}, n_chunks long, n_old long")
-        if before and rows:
-            gone += [r.file_id for r in remaining.join(F.broadcast(taken.select("rel")), "rel", "left_semi").select("file_id").collect()]
-        # Ids follow file order, then line: they decide ties.
-        starts = maintenance.running_total(taken, "file_ord", "n_chunks").select("file_id", "language", (F.col("total") - F.col("n_chunks") + last_id).alias("base"))
+            stays = remaining.select("file_id", F.lit(True).alias("stays"))
+            held = before["files"].select("file_id", "rel", "n_chunks").join(stays, "file_id", "left").collect()
+        gone = [r.file_id for r in held if not r.stays]
+        old = {r.rel: r for r in held if r.stays}
+        n = sum(r.n_chunks for r in old.values())
+        last_id = self.meta.last_id if before else 0
+        rows, starts, cap = [], [], self.config.max_chunks
+        for r in found:
+            more = r.n_chunks - (old[r.rel].n_chunks if r.rel in old else 0)
+            # A full build starts a file while the cap is not reached; a refresh never exceeds it.
+            if n + more > cap if before or strict else n >= cap:
+                break
+            rows.append(tuple(r))
+            # Ids follow file order, then line: they decide ties.
+            starts.append((r.file_id, r.language, last_id))
+            n, last_id = n + more, last_id + r.n_chunks
+            if r.rel in old:
+                gone.append(old[r.rel].file_id)
+        truncated = truncated or len(rows) < len(found)
+        taken, starts = spark.createDataFrame(rows, f"{FILES}, n_chunks long"), spark.createDataFrame(starts, "file_id long, language string, base long")
         numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
         order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
         chunks = store.write_table(folder, segment, "chunks", numbered.select(*order))
-        store.write_table(folder, segment, "files", taken.drop("n_chunks", "n_old"))
+        store.write_table(folder, segment, "files", taken)
         vectors = self._vectors(chunks)
         if before and self.meta.provider_id != self.provider.id:
             store.discard(folder, segment)
@@ -231,17 +239,16 @@ class RetrievalIndex:
         lost = before["tf"].join(F.broadcast(spark.createDataFrame([(x,) for x in gone], "file_id long")), "file_id", "left_semi") if gone else tf.where("false")
         signed = deltas.signed_postings(tf, lost)
         df = deltas.merged_df(before["df"] if before else spark.createDataFrame([], "term string, df long"), deltas.term_changes(signed))
-        n = n_held - sum(r.n_old for r in rows) + sum(r.n_chunks for r in rows)
-        total = held_len + (signed.agg(F.sum(F.col("sign") * F.col("tf"))).first()[0] or 0)
+        total = (self.meta.total_len if before else 0) + (signed.agg(F.sum(F.col("sign") * F.col("tf"))).first()[0] or 0)
         segments = (*(self.meta.segments if before else ()), segment)
-        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, total, segments, (*(self.meta.gone if before else ()), *gone))
+        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, total, last_id, segments, (*(self.meta.gone if before else ()), *gone))
         if len(segments) > store.MAX_SEGMENTS:
             meta = self._compacted(meta)
         tables = store.open_tables(spark, folder, "", meta, statistics=False)
         weighted = deltas.idf_of(df, n)
         home = store.save(folder, {"df": df, "norms": ranking.vector_norms(tables["sparse"], weighted)}, meta)
         self.tables, self.meta = store.open_tables(spark, folder, home, meta), meta
-        return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated, taken=[r.rel for r in rows])
+        return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated, taken=[r.rel for r in found[: len(rows)]])
 
     def _compacted(self, meta: store.Meta) -> store.Meta:
         """All live rows in one new segment."""

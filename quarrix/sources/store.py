@@ -38,6 +38,7 @@ class Meta:
     truncated: bool
     n_chunks: int
     total_len: int = 0
+    last_id: int = 0
     segments: tuple[str, ...] = ()
     gone: tuple[int, ...] = field(default=(), repr=False)  # files of the segments that no longer count, at most as many as the scan lists
     version: int = FORMAT_VERSION

@@ -150,3 +150,49 @@ def test_query_vector_is_that_of_a_unit(spark):
     tf = spark.createDataFrame([(0, t, n) for t, n in counts.items()], "unit_id long, term string, tf long")
     rows = ranking.hashed_vectors(tf, spark.createDataFrame(list(idf.items()), "term string, idf double"), 8).collect()
     assert {r.bucket: r.w for r in rows} == pytest.approx(ranking.query_vector(counts, idf, 8), abs=1e-7)
+
+
+def scores(index, q):
+    return {(h["file"], h["start_line"], round(h["lexical_score"] or 0, 6), round(h["vector_score"] or 0, 6), round(h["score"], 9)) for h in index.search(q).hits}
+
+
+def test_segments_hold_what_changed_and_are_compacted(spark, tmp_path, monkeypatch):
+    """A refresh writes its own files; searches are those of a rebuild; beyond the limit one segment remains."""
+    monkeypatch.setattr(store, "MAX_SEGMENTS", 3)
+    for i in range(12):
+        (tmp_path / f"f{i:02}.txt").write_text(f"common words alpha{i % 3} beta{i}\n" * (i + 1))
+    index = RetrievalIndex(spark, config(tmp_path))
+    index.build("full")
+    for step in range(4):
+        (tmp_path / f"f{step:02}.txt").write_text(f"common changed alpha{step} gamma\n")
+        (tmp_path / f"f{11 - step:02}.txt").unlink()
+        done = index.build("refresh")
+        assert (done.updated, done.removed) == (1, 1)
+        newest = spark.read.parquet(os.path.join(index.config.data_dir, index.meta.segments[-1], "chunks"))
+        assert newest.count() == (1 if len(index.meta.segments) > 1 else index.meta.n_chunks)
+    assert len(index.meta.segments) <= 3 and any(len(s) for s in index.meta.segments)
+    full = RetrievalIndex(spark, config(tmp_path, data_dir=".other"))
+    full.build("full")
+    assert (index.meta.n_chunks, index.meta.total_len) == (full.meta.n_chunks, full.meta.total_len)
+    assert {tuple(r) for r in index.tables["df"].collect()} == {tuple(r) for r in full.tables["df"].collect()}
+    for q in ("common gamma", "alpha1 beta5", "nothing"):
+        assert {x[2:] for x in scores(index, q)} == {x[2:] for x in scores(full, q)}
+    again = RetrievalIndex(spark, config(tmp_path))
+    assert again.init() == "loaded" and scores(again, "common gamma") == scores(index, "common gamma")
+
+
+def test_a_failed_build_leaves_the_old_snapshot_alone(spark, workspace, monkeypatch):
+    index = RetrievalIndex(spark, config(workspace))
+    index.build("full")
+    before = sorted(os.listdir(index.config.data_dir))
+    (workspace / "main.go").write_text("package other\n")
+
+    def broken(*a):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(ranking, "vector_norms", broken)
+    with pytest.raises(RuntimeError, match="disk full"):
+        index.build("refresh")
+    monkeypatch.undo()
+    assert sorted(os.listdir(index.config.data_dir)) == before
+    assert first(index.search("start server")) == "main.go" and index.build("refresh").updated == 1
