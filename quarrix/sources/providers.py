@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -42,7 +43,7 @@ class LexicalProvider:
 
 
 class RejectedBatch(Exception):
-    """The service refuses a batch as such; its texts are then tried one by one."""
+    """The service refuses a batch as such; its halves are then tried."""
 
 
 def parse_embeddings(body: object, n: int) -> list[list[float]]:
@@ -87,20 +88,25 @@ class ClientProvider:
         self.client = client or http_client(config)
 
     def embed_texts(self, texts: list[str]) -> list[list[float] | None]:
-        """Unit vectors of one batch; None for texts that the service rejects also alone."""
-        cut = [t[: self.config.max_chars_per_text] for t in texts]
-        try:
-            return [_unit(v) for v in self.client(cut)]
-        except RejectedBatch:
-            if len(cut) == 1:
-                return [None]
-        out: list[list[float] | None] = []
-        for t in cut:
+        """Unit vectors of one batch; None for texts that the service rejects also alone.
+
+        A refused batch is halved until the refused texts stand alone: one of
+        32 takes at most 11 calls.  All calls of a batch share one deadline.
+        """
+        ends = time.monotonic() + self.config.timeout_ms / 1000
+
+        def vectors(part: list[str]) -> list[list[float] | None]:
+            if time.monotonic() > ends:
+                raise TimeoutError(f"no embeddings within {self.config.timeout_ms} ms")
             try:
-                out.append(_unit(self.client([t])[0]))
+                return [_unit(v) for v in self.client(part)]
             except RejectedBatch:
-                out.append(None)
-        return out
+                if len(part) == 1:
+                    return [None]
+            half = len(part) // 2
+            return vectors(part[:half]) + vectors(part[half:])
+
+        return vectors([t[: self.config.max_chars_per_text] for t in texts])
 
     def embed(self, units: DataFrame) -> DataFrame:
         """``unit_id, v`` of ``units(unit_id, text)``; rejected texts get zeros, mixed dimensions raise."""

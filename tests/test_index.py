@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 
@@ -108,6 +109,31 @@ def test_client_provider_salvages(spark):
             parse_embeddings(body, 1)
 
 
+def test_a_refused_batch_is_halved_within_one_deadline():
+    calls = []
+
+    def client(texts):
+        calls.append(len(texts))
+        if any("bad" in t for t in texts):
+            raise RejectedBatch("400")
+        return [[3.0, 4.0] for _ in texts]
+
+    provider = ClientProvider(ProviderConfig("openai", 0), client)
+    for bad in (0, 13, 31):
+        calls.clear()
+        got = provider.embed_texts(["bad" if i == bad else f"text {i}" for i in range(32)])
+        assert [i for i, v in enumerate(got) if v is None] == [bad] and len(calls) <= 11
+
+    def slow(texts):
+        time.sleep(0.06)
+        raise RejectedBatch("400")
+
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        ClientProvider(ProviderConfig("openai", 0, timeout_ms=100), slow).embed_texts(["x"] * 32)
+    assert time.monotonic() - began < 2
+
+
 def test_fallback_and_degradation(spark, workspace):
     def broken(texts):
         raise OSError("closed")
