@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from dataclasses import dataclass, field
 
 from .chunking.languages import all_extensions
@@ -87,6 +88,6 @@ class EngineConfig:
         root = os.path.abspath(os.path.join(base_dir, self.root.strip() or "."))
         numbers = {k: in_range(getattr(self, k), least, most, k) for k, (_, least, most) in RANGES.items()}
         include = self.include or (*(f"*.{e}" for e in all_extensions()), *TEXT_GLOBS)
-        data_dir = os.path.join(root, self.data_dir)
-        ignore = (*(self.ignore or IGNORED), os.path.basename(data_dir))
+        data_dir = self.data_dir if re.match(r"[a-z][a-z0-9+.-]*:/", self.data_dir) else os.path.join(root, self.data_dir)
+        ignore = (*(self.ignore or IGNORED), os.path.basename(data_dir.rstrip("/")))
         return EngineConfig(root, data_dir, self.provider.checked(), self.allow_fallback, include, tuple(dict.fromkeys(ignore)), autosave=self.autosave, **numbers)

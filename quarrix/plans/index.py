@@ -5,6 +5,8 @@ from __future__ import annotations
 import threading
 import time
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from ..chunking.chunker import chunk_files
 from ..config import EngineConfig
 from ..functions.text import snippet, token_types, tokenize
+from ..functions.vectors import fitted
 from ..operators import deltas, maintenance, ranking, stats
 from ..sources import store, workspace
 from ..sources.providers import FALLBACK_DIMENSION, Client, LexicalProvider, create_provider
 from ..streaming.watch import DirWatcher, Refresher
+from .abort import Abort
 
 FILES = "file_id long, file_ord long, rel string, path string, size long, bytes long, mtime_ms double, language string"
 
@@ -57,9 +61,11 @@ class RetrievalIndex:
         self.provider = create_provider(self.config.provider, client)
         self.tables: dict[str, DataFrame] | None = None
         self.meta: store.Meta | None = None
+        self.base = store.Commit()  # what this index has seen published; it publishes after that only
         self.degraded = False
         self.errors: list[str] = []
         self._lock = threading.RLock()
+        self._abort = Abort()  # of the operation that holds the lock
 
     @property
     def ready(self) -> bool:
@@ -69,16 +75,40 @@ class RetrievalIndex:
         """Loads the stored snapshot if there is a fitting one: loaded, empty or stale."""
         with self._lock:
             found = store.load(self.spark, self.config.data_dir, self.provider.id, self.provider.dimension)
+            self.base = found.base
             if found.status == "loaded":
                 self.tables, self.meta = found.tables, found.meta
                 self.provider.dimension = self.provider.dimension or found.meta.dimension
             return found.status
 
-    def build(self, mode: str = "refresh") -> BuildResult:
-        with self._lock:
-            if not self.ready and mode == "refresh":
-                self.init()
-            return self._refresh() if self.ready and mode == "refresh" else self._full()
+    def build(self, mode: str = "refresh", abort: Abort | None = None) -> BuildResult:
+        """Refreshes or builds; an aborted or failed one leaves the snapshot before it in use.
+
+        Raises ``store.Conflict`` if another writer has published meanwhile; the
+        next operation then starts from what that one wrote.
+        """
+        with self._turn(abort):
+            return self._build(mode)
+
+    def _build(self, mode: str = "refresh") -> BuildResult:
+        if not self.ready and mode == "refresh":
+            self.init()
+        elif not self.ready:
+            self.base = store.current(self.spark, self.config.data_dir)
+        return self._refresh() if self.ready and mode == "refresh" else self._full()
+
+    @contextmanager
+    def _turn(self, abort: Abort | None = None) -> Iterator[None]:
+        abort = abort or Abort()
+        with abort.turn(self.spark, self._lock):
+            outer, self._abort = self._abort, abort
+            try:
+                yield
+            except store.Conflict:
+                self.tables = self.meta = None
+                raise
+            finally:
+                self._abort = outer
 
     def _full(self) -> BuildResult:
         files, listing = workspace.scan(self.spark, self.config)
@@ -135,7 +165,7 @@ class RetrievalIndex:
         """Reads one file again; a file that is gone is removed."""
         import os
 
-        with self._lock:
+        with self._turn():
             if not self.ready:
                 self.init()
             if not self.ready:
@@ -160,7 +190,7 @@ class RetrievalIndex:
             return out
 
     def remove_file(self, rel: str) -> bool:
-        with self._lock:
+        with self._turn():
             if not self.ready:
                 self.init()
             if not self.ready or self.tables["files"].where(F.col("rel") == rel).isEmpty():
@@ -174,7 +204,7 @@ class RetrievalIndex:
         Statistics follow the postings that came and went.  A build that fails
         or is aborted leaves no segment behind.
         """
-        provider, segment = self.provider, store.new_segment()
+        provider, segment = self.provider, store.Segment(self.spark, self.config.data_dir)
         cut = chunk_files(fresh.select("file_id", "rel", "content"), self.config.max_lines_per_chunk).persist()
         try:
             return self._write(remaining, before, fresh, truncated, strict, cut, segment)
@@ -182,14 +212,15 @@ class RetrievalIndex:
             # The held vectors are another provider's: nothing of them can stay.
             return self._full()
         except BaseException:
-            store.discard(self.config.data_dir, segment)
+            segment.discard()
             if not self.config.allow_fallback:
                 self.provider = provider
             raise
         finally:
             cut.unpersist()
+            provider.release()
 
-    def _write(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool, cut: DataFrame, segment: str) -> BuildResult:
+    def _write(self, remaining: DataFrame, before: dict[str, DataFrame] | None, fresh: DataFrame, truncated: bool, strict: bool, cut: DataFrame, segment: store.Segment) -> BuildResult:
         folder, spark = self.config.data_dir, self.spark
         narrow = [c.strip().split(" ")[0] for c in FILES.split(",")]
         # Names and numbers of files, at most as many as the driver has listed.
@@ -219,44 +250,54 @@ class RetrievalIndex:
         taken, starts = spark.createDataFrame(rows, f"{FILES}, n_chunks long"), spark.createDataFrame(starts, "file_id long, language string, base long")
         numbered = cut.join(starts, "file_id").withColumn("chunk_id", F.col("base") + F.row_number().over(Window.partitionBy("file_id").orderBy("start_line"))).drop("base")
         order = ["chunk_id", "file_id", "rel", "language", "symbol", "start_line", "end_line", "content", "summary"]
-        chunks = store.write_table(folder, segment, "chunks", numbered.select(*order))
-        store.write_table(folder, segment, "files", taken)
+        chunks = segment.write("chunks", numbered.select(*order))
+        segment.write("files", taken)
+        self._abort.check()
         vectors = self._vectors(chunks)
         if before and self.meta.provider_id != self.provider.id:
-            store.discard(folder, segment)
+            segment.discard()
             raise _ProviderChanged
         of_chunk = chunks.select(F.col("chunk_id").alias("unit_id"), "file_id")
-        store.write_table(folder, segment, "vectors", vectors.join(of_chunk, "unit_id"))
+        segment.write("vectors", vectors.withColumn("v", fitted(F.col("v"), self.provider.dimension)).join(of_chunk, "unit_id"))
+        segment.check(self.meta.last_id + 1 if before else 1, last_id, not self.provider.local)
         texts = chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text"))
-        tf = store.write_table(folder, segment, "tf", stats.term_frequencies(texts, self.config.ngram).join(of_chunk, "unit_id"))
-        store.write_table(folder, segment, "lengths", tf.groupBy("unit_id", "file_id").agg(F.sum("tf").alias("dl")))
+        self._abort.check()
+        tf = segment.write("tf", stats.term_frequencies(texts, self.config.ngram).join(of_chunk, "unit_id"))
+        segment.write("lengths", tf.groupBy("unit_id", "file_id").agg(F.sum("tf").alias("dl")))
         if self.provider.local:
             # The vector channel always uses pairs of letters, whatever the index uses.
             pairs = tf if self.config.ngram == 2 else stats.term_frequencies(texts).join(of_chunk, "unit_id")
-            store.write_table(folder, segment, "sparse", ranking.bucket_postings(pairs, self.provider.dimension))
+            segment.write("sparse", ranking.bucket_postings(pairs, self.provider.dimension))
         else:
-            store.write_table(folder, segment, "sparse", spark.createDataFrame([], "term string, unit_id long, file_id long, bucket int, s double"))
+            segment.write("sparse", spark.createDataFrame([], "term string, unit_id long, file_id long, bucket int, s double"))
         lost = before["tf"].join(F.broadcast(spark.createDataFrame([(x,) for x in gone], "file_id long")), "file_id", "left_semi") if gone else tf.where("false")
         signed = deltas.signed_postings(tf, lost)
         df = deltas.merged_df(before["df"] if before else spark.createDataFrame([], "term string, df long"), deltas.term_changes(signed))
         total = (self.meta.total_len if before else 0) + (signed.agg(F.sum(F.col("sign") * F.col("tf"))).first()[0] or 0)
-        segments = (*(self.meta.segments if before else ()), segment)
-        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, total, last_id, segments, (*(self.meta.gone if before else ()), *gone))
+        segments = (*(self.meta.segments if before else ()), segment.name)
+        written = (self.meta.rows if before else {}) | {segment.name: segment.rows}
+        meta = store.Meta(self.provider.id, self.provider.kind, self.provider.dimension, self.config.root, int(time.time() * 1000), truncated, n, total, last_id, segments, (*(self.meta.gone if before else ()), *gone), written)
         if len(segments) > store.MAX_SEGMENTS:
             meta = self._compacted(meta)
         tables = store.open_tables(spark, folder, "", meta, statistics=False)
         weighted = deltas.idf_of(df, n)
-        home = store.save(folder, {"df": df, "norms": ranking.vector_norms(tables["sparse"], weighted)}, meta)
+        self._abort.check()
+        home, self.base = store.save(spark, folder, {"df": df, "norms": ranking.vector_norms(tables["sparse"], weighted)}, meta, self.base)
         self.tables, self.meta = store.open_tables(spark, folder, home, meta), meta
         return BuildResult("", files=self.tables["files"].count(), chunks=n, truncated=truncated, taken=[r.rel for r in found[: len(rows)]])
 
     def _compacted(self, meta: store.Meta) -> store.Meta:
         """All live rows in one new segment."""
-        whole = store.new_segment()
+        whole = store.Segment(self.spark, self.config.data_dir)
         live = store.open_tables(self.spark, self.config.data_dir, "", meta, statistics=False)
-        for table, rows in live.items():
-            store.write_table(self.config.data_dir, whole, table, rows)
-        return replace(meta, segments=(whole,), gone=())
+        try:
+            for table, rows in live.items():
+                self._abort.check()
+                whole.write(table, rows)
+        except BaseException:
+            whole.discard()
+            raise
+        return replace(meta, segments=(whole.name,), gone=(), rows={whole.name: whole.rows})
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         """Dense vectors of a client; none for the local provider, whose weights are applied when searching."""
@@ -264,18 +305,19 @@ class RetrievalIndex:
             try:
                 return self.provider.embed(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")))
             except Exception:
+                self._abort.check()  # a cancelled job is no failure of the service
                 if not self.config.allow_fallback:
                     raise
                 self.provider, self.degraded = LexicalProvider(FALLBACK_DIMENSION), True
         return self.spark.createDataFrame([], "unit_id long, v array<float>")
 
-    def search(self, query: str, top_k: int | None = None) -> SearchResult:
+    def search(self, query: str, top_k: int | None = None, abort: Abort | None = None) -> SearchResult:
         began, query = time.time(), query.strip()
         if not query:
             raise ValueError("the query is empty")
-        with self._lock:
+        with self._turn(abort):
             if not self.ready:
-                self.build("refresh")
+                self._build()
             found, degraded = self._search(query, max(1, int(top_k if top_k is not None else self.config.top_k)))
             rows = [r.asDict() for r in found.orderBy(F.desc("score"), F.asc("chunk_id")).collect()]
         return SearchResult(query, degraded, self.provider.id, int(1000 * (time.time() - began)), len(rows), rows)
@@ -324,7 +366,7 @@ class RetrievalIndex:
 
     def stats(self) -> dict:
         with self._lock:
-            base = {"ready": self.ready, "provider_id": self.provider.id, "provider_kind": self.provider.kind, "dimension": self.provider.dimension, "root": self.config.root, "degraded": self.degraded, "errors": list(dict.fromkeys(self.errors)), "disk_bytes": store.size_bytes(self.config.data_dir)}
+            base = {"ready": self.ready, "provider_id": self.provider.id, "provider_kind": self.provider.kind, "dimension": self.provider.dimension, "root": self.config.root, "degraded": self.degraded, "errors": list(dict.fromkeys(self.errors)), "disk_bytes": store.size_bytes(self.spark, self.config.data_dir)}
             if not self.ready:
                 return base | {"files": 0, "chunks": 0, "terms": 0, "bytes": 0, "built_at": None, "truncated": False}
             files = self.tables["files"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()

@@ -31,6 +31,8 @@ class Provider(Protocol):
     dimension: int
     local: bool
 
+    def release(self) -> None: ...
+
 
 class LexicalProvider:
     kind, local = "lexical", True
@@ -41,6 +43,9 @@ class LexicalProvider:
         self.dimension = dimension
         self.id = f"lexical:{dimension}"
 
+    def release(self) -> None:
+        """Holds nothing."""
+
 
 class RejectedBatch(Exception):
     """The service refuses a batch as such; its halves are then tried."""
@@ -86,6 +91,7 @@ class ClientProvider:
         self.config, self.dimension = config, config.dimension
         self.id = f"openai:{config.base_url}:{config.model}"
         self.client = client or http_client(config)
+        self._made: list[DataFrame] = []
 
     def embed_texts(self, texts: list[str]) -> list[list[float] | None]:
         """Unit vectors of one batch; None for texts that the service rejects also alone.
@@ -109,7 +115,10 @@ class ClientProvider:
         return vectors([t[: self.config.max_chars_per_text] for t in texts])
 
     def embed(self, units: DataFrame) -> DataFrame:
-        """``unit_id, v`` of ``units(unit_id, text)``; rejected texts get zeros, mixed dimensions raise."""
+        """``unit_id, v`` of ``units(unit_id, text)``; rejected texts get zeros, mixed dimensions raise.
+
+        The vectors are held until ``release``, so that no text is sent twice.
+        """
         call = self.embed_texts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +128,17 @@ class ClientProvider:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(call([t or "" for t in part.column(1).to_pylist()]), pa.list_(pa.float32()))], names=["unit_id", "v"])
 
         made = units.selectExpr("cast(unit_id AS long)", "cast(text AS string)").mapInArrow(run, "unit_id long, v array<float>").persist()
+        self._made.append(made)
         low, high = made.agg(F.min(F.size("v")), F.max(F.size("v"))).where("true").first()
         if high is not None and (low != high and low > 0 or self.dimension and self.dimension != high):
             raise ValueError(f"mixed dimensions: {low} and {high}")
         self.dimension = self.dimension or max(high or 0, 0)
         return made.select("unit_id", F.coalesce("v", F.array_repeat(F.lit(0).cast("float"), self.dimension)).alias("v"))
 
+    def release(self) -> None:
+        while self._made:
+            self._made.pop().unpersist()
+
 
 def create_provider(config: ProviderConfig, client: Client | None = None) -> LexicalProvider | ClientProvider:
     return LexicalProvider(config.dimension) if config.kind == "lexical" else ClientProvider(config, client)

@@ -1,12 +1,16 @@
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrix.config import EngineConfig, ProviderConfig
+from quarrix.functions.vectors import fitted
 from quarrix.operators import ranking
 from quarrix.plans.index import RetrievalIndex
 from quarrix.plans.tool import dispatch, render
+from quarrix.plans.abort import Abort, Aborted
 from quarrix.sources import store
 from quarrix.sources.providers import ClientProvider, RejectedBatch, parse_embeddings
 
@@ -73,10 +77,10 @@ def test_stale_snapshots(spark, workspace):
     assert store.load(spark, folder, "lexical:256", 256).status == "loaded"
     assert store.load(spark, folder, "lexical:512", 512).status == "stale"
     assert store.load(spark, folder, "lexical:256", 128).status == "stale"
-    with open(os.path.join(folder, store.current(folder), "meta.json"), "w") as f:
+    with open(os.path.join(folder, store.current(spark, folder).snapshot, "meta.json"), "w") as f:
         f.write("{")
     assert store.load(spark, folder, "lexical:256", 256).status == "stale"
-    store.clear(folder)
+    store.clear(spark, folder)
     assert store.load(spark, folder, "lexical:256", 256).status == "empty"
 
 
@@ -222,3 +226,122 @@ def test_a_failed_build_leaves_the_old_snapshot_alone(spark, workspace, monkeypa
     monkeypatch.undo()
     assert sorted(os.listdir(index.config.data_dir)) == before
     assert first(index.search("start server")) == "main.go" and index.build("refresh").updated == 1
+
+
+def test_one_of_two_writers_wins(spark, workspace):
+    first_one, second = (RetrievalIndex(spark, config(workspace)) for _ in range(2))
+    first_one.build("full")
+    assert second.init() == "loaded"
+    (workspace / "main.go").write_text("package other\nfunc renamed() {\n}\n")
+    first_one.build("refresh")
+    with pytest.raises(store.Conflict):
+        second.build("refresh")
+    folder = first_one.config.data_dir
+    assert store.current(spark, folder) == first_one.base
+    assert set(first_one.meta.segments) <= set(os.listdir(folder)) and first(first_one.search("renamed")) == "main.go"
+    # The loser starts from what the winner wrote.
+    assert second.build("refresh").unchanged == 5 and second.base == first_one.base
+
+
+def test_two_saves_at_once(spark, workspace):
+    """Threads with the same base: one publishes, the others get an error and leave nothing."""
+    index = RetrievalIndex(spark, config(workspace))
+    index.build("full")
+    folder, statistics = index.config.data_dir, {t: index.tables[t] for t in store.SNAPSHOT_TABLES}
+    with ThreadPoolExecutor(4) as pool:
+        saves = [pool.submit(store.save, spark, folder, statistics, index.meta, index.base) for _ in range(4)]
+    won = [s.result() for s in saves if not s.exception()]
+    assert len(won) == 1 and all(isinstance(s.exception(), store.Conflict) for s in saves if s.exception())
+    assert store.current(spark, folder) == won[0][1] == store.Commit(2, won[0][0].rsplit("/", 1)[1])
+    assert sum(x.startswith("v-") for x in os.listdir(folder)) == 2
+
+
+def test_a_commit_left_unfinished_names_no_snapshot(spark, workspace):
+    index = RetrievalIndex(spark, config(workspace))
+    index.build("full")
+    place = store.Folder(spark, index.config.data_dir)
+    assert place.create(store._commit(2), "") and not place.create(store._commit(2), "x")
+    again = RetrievalIndex(spark, config(workspace))
+    assert again.init() == "loaded" and again.base == store.Commit(2, index.base.snapshot)
+    # Its writer comes back and finishes after all: who built on the commit before has lost.
+    (workspace / "main.go").unlink()
+    with open(os.path.join(index.config.data_dir, store._commit(2)), "w") as f:
+        f.write(f"v-{0:032x}")
+    with pytest.raises(store.Conflict):
+        again.build("refresh")
+    assert not os.path.exists(os.path.join(index.config.data_dir, store._commit(3)))
+
+
+def test_any_uri_and_lost_rows(spark, workspace):
+    def client(texts):
+        return [[float(len(t)), 1.0, 2.0, 3.0] for t in texts]
+
+    folder = (workspace / "far").as_uri()
+    made = EngineConfig(root=str(workspace), data_dir=folder, provider=ProviderConfig("openai", 4), ignore=("far",))
+    index = RetrievalIndex(spark, made, client)
+    index.build("full")
+    assert index.config.data_dir == folder and index.stats()["disk_bytes"] > 0 and first(index.search("parse config"))
+    assert not index.provider._made
+    assert RetrievalIndex(spark, made, client).init() == "loaded"
+    vectors = workspace / "far" / index.meta.segments[0] / "vectors"
+    spark.read.parquet(str(vectors)).where("unit_id > 1").coalesce(1).write.parquet(str(workspace / "fewer"))
+    for f in vectors.iterdir():
+        f.unlink()
+    for f in (workspace / "fewer").glob("*.parquet"):
+        f.rename(vectors / f.name)
+    found = store.load(spark, folder, index.provider.id, 4)
+    assert found.status == "stale" and "vectors" in found.reason
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    segment = store.Segment(spark, str(tmp_path))
+    for ids, right in (([1, 2, 3], True), ([1, 3, 3], False), ([1, 1, 3], False), ([1, 2], False), ([2, 2, 2], False)):
+        segment = store.Segment(spark, str(tmp_path))
+        segment.write("chunks", spark.createDataFrame([(i,) for i in ids], "chunk_id long"))
+        if right:
+            segment.check(1, 3, False)
+        else:
+            with pytest.raises(ValueError, match="repeated or missing"):
+                segment.check(1, 3, False)
+    empty = store.Segment(spark, str(tmp_path))
+    empty.write("chunks", spark.createDataFrame([], "chunk_id long"))
+    empty.check(1, 0, False)
+
+
+def test_a_build_is_aborted(spark, workspace):
+    """Its jobs end, nothing of it is left, and the snapshot before it is still used; one that waits its turn ends at once."""
+
+    def slow(texts):
+        if any("package other" in t for t in texts):
+            time.sleep(60)
+        return [[1.0, 2.0, 3.0, float(len(t))] for t in texts]
+
+    index = RetrievalIndex(spark, EngineConfig(root=str(workspace), provider=ProviderConfig("openai", 4)), slow)
+    index.build("full")
+    before, known = sorted(os.listdir(index.config.data_dir)), index.base
+    (workspace / "main.go").write_text("package other\n")
+    running, waiting = Abort(), Abort()
+    with ThreadPoolExecutor(2) as pool:
+        build = pool.submit(index.build, "refresh", running)
+        until = time.time() + 60
+        while time.time() < until and sorted(os.listdir(index.config.data_dir)) == before:
+            time.sleep(0.1)
+        queued = pool.submit(index.search, "start", abort=waiting)
+        time.sleep(3)
+        waiting.ask()
+        assert isinstance(queued.exception(5), Aborted) and not build.done()
+        began = time.monotonic()
+        running.ask()
+        assert isinstance(build.exception(10), Aborted) and time.monotonic() - began < 40  # the service would take 60
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert sorted(os.listdir(index.config.data_dir)) == before and index.base == known
+    assert not index.degraded and not index.provider.local
+    (workspace / "main.go").write_text("package main\nfunc startServer() {\n}\n")
+    assert index.build("refresh").files == 5
+    with pytest.raises(Aborted):
+        index.build("full", running)
+
+
+def test_vectors_are_fitted(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, []), (4, None)], "i long, v array<float>")
+    assert [r.v for r in rows.orderBy("i").select(fitted(F.col("v"), 2).alias("v")).collect()] == [[1.0, 2.0], [1.0, 0.0], [0.0, 0.0], None]
