@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def relevant(events: DataFrame, exclude: tuple[str, ...], path: str = "path") -> DataFrame:
@@ -26,6 +28,43 @@ def debounced(events: DataFrame, gap: str = "300 milliseconds", ts: str = "ts",
     return timed.groupBy(*keys, *every, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def bursts(events: DataFrame, gap_ms: int = 300, ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, start, end, n`` of a stream: a burst of a key ends when nothing of it has arrived for the gap.
+
+    The pause is measured by the clock, so the last burst is handed on without
+    a later event; ``start`` and ``end`` are the least and greatest event time,
+    ``n`` counts the events, those without a time too (a burst of only these
+    has null ends).  Null keys are a key.  State is one row a key with an open
+    burst, and goes when it ends.  While any is open, Spark runs batches
+    without data to look at the clock.
+    """
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    key_of = {k: f"key_{i}" for i, k in enumerate(keys)}  # no clash with the columns below
+    columns = ", ".join([*(f"{key_of[k]} {types[k]}" for k in keys), "start timestamp", "end timestamp", "n long"])
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            low, high, n = state.get
+            state.remove()
+            times = [None if x is None else pd.Timestamp(x, unit="us", tz="UTC") for x in (low, high)]
+            cells = [*key[: len(keys)], *times, n]
+            yield pd.DataFrame({name.strip().split(" ")[0]: pd.Series([c], dtype="datetime64[us, UTC]" if name.strip().endswith("timestamp") else None) for name, c in zip(columns.split(", "), cells, strict=True)})
+            return
+        low, high, n = state.get if state.exists else (None, None, 0)
+        for frame in frames:
+            seen = frame["us"].dropna()
+            n += len(frame)
+            if len(seen):
+                least, most = int(seen.min()), int(seen.max())
+                low, high = min(least, least if low is None else low), max(most, most if high is None else high)
+        state.update((low, high, n))
+        state.setTimeoutDuration(gap_ms)
+
+    rows = events.select(*[F.col(k).alias(key_of[k]) for k in keys], F.unix_micros(ts).alias("us"), F.lit(0).alias("every"))
+    found = rows.groupBy(*(key_of.values() or ["every"])).applyInPandasWithState(step, columns, "low long, high long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return found.select(*[F.col(v).alias(k) for k, v in key_of.items()], "start", "end", "n")
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """``rel, change`` between two listings ``rel, size, mtime_ms``."""
     a = before.select("rel", F.struct("size", "mtime_ms").alias("a"))
@@ -38,7 +77,8 @@ def on_sessions(sessions: DataFrame, act: Callable[[], None], checkpoint: str) -
     """Calls ``act`` once for each micro-batch that closes at least one session; pending ones are coalesced."""
 
     def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+        # A full pass: every partition of the state must be run.
+        if batch.count():
             act()
 
     return sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run).start()

@@ -132,6 +132,34 @@ def test_debounce_as_a_stream(spark, tmp_path):
     assert acts == [1]
 
 
+def test_the_last_burst_needs_no_later_event(spark, tmp_path):
+    """Two bursts by the clock; keys with null, events without a time; each is handed on while the stream has nothing more to read."""
+    put(tmp_path, {"in/1.json": '{"ts": "2024-01-01T00:00:00Z", "n": "a"}\n{"ts": "2024-01-01T00:00:00.1Z", "n": "a"}\n{"ts": "2024-01-01T00:00:05Z"}\n{"n": "b"}\n'})
+    events = spark.readStream.schema("ts timestamp, n string").json(str(tmp_path / "in"))
+    got, acts = [], []
+
+    def keep(batch, _):
+        got.extend(tuple(r) for r in batch.selectExpr("n", "unix_millis(start)", "unix_millis(end)", "m").collect())
+
+    at = 1_704_067_200_000
+    keyed = watch.bursts(events, 500, keys=("n",)).toDF("n", "start", "end", "m").writeStream.option("checkpointLocation", str(tmp_path / "keyed")).foreachBatch(keep).start()
+    whole = watch.on_sessions(watch.bursts(events, 500), lambda: acts.append(1), str(tmp_path / "whole"))
+    try:
+        for wanted in (1, 2):
+            until = time.time() + 90
+            while time.time() < until and (len(acts) < wanted or len(got) < 2 + wanted):
+                time.sleep(0.2)
+            assert len(acts) == wanted
+            if wanted == 1:
+                assert sorted(got, key=str) == sorted([("a", at, at + 100, 2), (None, at + 5000, at + 5000, 1), ("b", None, None, 1)], key=str)
+                (tmp_path / "next.json").write_text('{"ts": "2024-01-01T00:00:09Z", "n": "a"}\n')
+                (tmp_path / "next.json").rename(tmp_path / "in/2.json")
+        assert ("a", at + 9000, at + 9000, 1) in got and len(got) == 4
+    finally:
+        keyed.stop()
+        whole.stop()
+
+
 def test_snapshot_changes(spark):
     schema = "rel string, size long, mtime_ms double"
     before = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0), ("c", 1, 1.0)], schema)
