@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..chunking.chunker import chunk_files
 from ..config import RANGES
 from ..functions import text as T
-from ..functions.vectors import normalized
+from ..functions.vectors import fitted, normalized
 from ..operators import batch, deltas, maintenance, ranking, stats
 from ..streaming.watch import debounced, relevant
 
@@ -176,6 +176,17 @@ def normalized_rows(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(moment, 4).alias("moment"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
 
+@query("""SELECT vec_id, round(list_sum(list_transform(list_resize(embedding, 48, 0), lambda x, i: i * x::DOUBLE)), 4) AS cut_moment,
+round(list_sum(list_transform(list_resize(embedding, 80, 0), lambda x, i: i * x::DOUBLE)), 4) AS padded_moment, len(list_resize(embedding, 80, 0)) AS n_padded FROM embeddings""")
+def fitted_vectors(spark, sf_dir):
+    """Vectors cut to 48 and padded to 80 components, each as one sum that depends on every place."""
+    def moment(v):
+        return F.round(F.aggregate(F.transform(v, lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4)
+
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", fitted(F.col("embedding"), 48).alias("cut"), fitted(F.col("embedding"), 80).alias("padded"))
+    return v.select("vec_id", moment(F.col("cut")).alias("cut_moment"), moment(F.col("padded")).alias("padded_moment"), F.size("padded").cast("long").alias("n_padded"))
+
+
 HYBRID = f"""WITH {QVEC}, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM cos), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM lex)
 SELECT coalesce(a.unit_id, b.unit_id) AS unit_id, round(coalesce(1.0::DOUBLE / ({RRF} + a.r), 0) + coalesce(1.0::DOUBLE / ({RRF} + b.r), 0), 9) AS score, round(a.score, 6) AS vector_score, round(b.score, 6) AS lexical_score
 FROM a FULL JOIN b ON a.unit_id = b.unit_id ORDER BY score DESC, 1 LIMIT {TOP}"""
