@@ -11,7 +11,7 @@ from ..chunking.chunker import chunk_files
 from ..config import RANGES
 from ..functions import text as T
 from ..functions.vectors import fitted, normalized
-from ..operators import batch, deltas, maintenance, ranking, stats
+from ..operators import batch, blockmax, deltas, maintenance, ranking, stats
 from ..streaming.watch import debounced, relevant
 
 # The documents are of invented words: a query must use words of theirs.
@@ -340,6 +340,23 @@ def bm25_many(spark, sf_dir):
     return _lexical_many(units, tf, TOP).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {DL}, p AS (SELECT term, unit_id // {blockmax.RANGE} AS block, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT a FROM avgl))) AS part FROM tf JOIN dl USING (unit_id) WHERE dl > 0)
+SELECT term, block::BIGINT AS block, count(*)::BIGINT AS n_posts, round(max(part), 6) AS most FROM p GROUP BY term, block""")
+def posting_blocks(spark, sf_dir):
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
+    blocks = blockmax.block_postings(tf, stats.doc_lengths(tf), stats.corpus_row(units, tf).first().avg_len)
+    return blocks.select("term", "block", F.size("posts").cast("long").alias("n_posts"), F.round("most", 6).alias("most"))
+
+
+@query(f"WITH {DL}, {LEX_MANY.format(n=TOP)} SELECT query_id, unit_id, round(score, 6) AS score, r::INT AS rank FROM lex")
+def bm25_block_max(spark, sf_dir):
+    units, tf = _units(spark, sf_dir), _tf(spark, sf_dir)
+    row = stats.corpus_row(units, tf).first()
+    asked = tf.where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), "term")
+    blocks = blockmax.block_postings(tf, stats.doc_lengths(tf), row.avg_len)
+    return blockmax.search(blocks, stats.idf(tf, row.n_docs), asked, row.avg_len, TOP)[0].withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {VEC}, {LEX_MANY.format(n=CHANNEL).replace('lex AS', 'lexm AS')}, {COS_MANY.format(n=CHANNEL)},
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.unit_id, b.unit_id) AS unit_id, coalesce(1.0::DOUBLE / ({RRF} + a.r), 0) + coalesce(1.0::DOUBLE / ({RRF} + b.r), 0) AS score, a.score AS vector_score, b.score AS lexical_score FROM cos a FULL JOIN lexm b ON a.query_id = b.query_id AND a.unit_id = b.unit_id)
 SELECT query_id, unit_id, round(score, 9) AS score, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INT AS rank FROM f QUALIFY rank <= {TOP}""")

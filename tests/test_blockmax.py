@@ -1,0 +1,75 @@
+"""Searches that leave out blocks against scoring every posting."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrix.operators import blockmax, ranking, stats
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Two rare words, one of them crowded into short units of two ranges; everything else holds common words."""
+    rng = random.Random(7)
+    texts = [(i, " ".join(rng.choices(["ash", "beech", "cedar", "elm"], k=rng.randrange(1, 30)) + (["rare"] * rng.randrange(1, 4) if i // 8 in (5, 31) else []) + (["seldom"] if i % 50 == 0 else []))) for i in range(400)]
+    texts += [(1000, ""), (1001, None), (1002, "rare"), (1003, "rare")]  # no tokens, and two that tie
+    units = spark.createDataFrame(texts, "unit_id long, text string")
+    tf = stats.term_frequencies(units).cache()
+    mean = stats.corpus_row(units, tf).first().avg_len
+    yield tf, stats.idf(tf, len(texts)), stats.doc_lengths(tf), mean
+    tf.unpersist()
+
+
+ASKED = {1: ["rare", "ash"], 2: ["seldom", "rare", "rare"], 3: ["ash", "beech", "cedar"], 4: ["nowhere"], 5: ["elm", None], 6: ["rare"]}
+
+
+def found(df):
+    return {(r.query_id, r.unit_id): (round(r.score, 7), r["rank"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("limit, scales", [(1, (1,)), (5, (1 / 3, 3)), (1000, (1,))])
+def test_same_rows_as_all_postings(spark, corpus, limit, scales):
+    tf, idf, lengths, mean = corpus
+    queries = spark.createDataFrame([(q, t) for q, terms in ASKED.items() for t in terms], "query_id long, term string")
+    want = {}
+    for q, terms in ASKED.items():
+        rows = ranking.top(ranking.bm25(tf, idf, lengths, mean, ranking.query_terms(spark, terms)), limit).collect()
+        want |= {(q, r.unit_id): (round(r.score, 7), place) for place, r in enumerate(rows, 1)}
+    # Also from blocks that were built when texts were shorter or longer on average.
+    for built in (mean * x for x in scales):
+        blocks = blockmax.block_postings(tf, lengths, built, 8)
+        assert found(blockmax.search(blocks, idf, queries, mean, limit, built, first=2)[0]) == want
+
+
+def test_blocks_are_left_out(spark, corpus):
+    tf, idf, lengths, mean = corpus
+    blocks = blockmax.block_postings(tf, lengths, mean, 8).cache()
+    queries = spark.createDataFrame([(q, t) for q, terms in ASKED.items() for t in terms], "query_id long, term string")
+    have = {r.query_id: r["count"] for r in blockmax.bounds(blocks, idf, queries, mean, mean).groupBy("query_id").count().collect()}
+    read = {r.query_id: r["count"] for r in blockmax.search(blocks, idf, queries, mean, 3, first=2)[1].groupBy("query_id").count().collect()}
+    # Common words reach every range; a rare word beside one leaves few of them.
+    assert have[1] >= 50 and read[1] <= 5
+    assert 4 not in have and 4 not in read
+    assert all(read[q] <= have[q] for q in read)
+    blocks.unpersist()
+
+
+def test_bounds_hold_and_rows_stay_small(corpus):
+    tf, idf, lengths, mean = corpus
+    blocks = blockmax.block_postings(tf, lengths, mean, 8)
+    assert blocks.agg(F.max(F.size("posts"))).first()[0] <= 8
+    assert blocks.select(F.inline("posts")).count() == tf.count()
+    for other in (mean, mean / 2, mean * 2):
+        growth = max(1.0, other / mean)
+        parts = blocks.select("most", F.inline("posts")).withColumn("part", blockmax._part(F.col("tf"), F.col("dl"), other))
+        assert not parts.where(F.col("part") > F.col("most") * growth + 1e-12).count()
+
+
+def test_empty_tables(spark, corpus):
+    tf, idf, lengths, mean = corpus
+    queries = spark.createDataFrame([(1, "rare")], "query_id long, term string")
+    blocks = blockmax.block_postings(tf, lengths, mean)
+    for b, q, limit in ((blocks.where("false"), queries, 3), (blocks, queries.where("false"), 3), (blocks, queries, 0)):
+        best, read = blockmax.search(b, idf, q, mean, limit)
+        assert best.collect() == [] == read.collect()
