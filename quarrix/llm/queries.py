@@ -75,8 +75,8 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamerly.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed=3, width=64)
-
+    done = hamerly.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed=3, width=64)
+    return done.drop("full_scans")
 
 
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,14 @@ def test_bounds_prove_what_they_spare():
         assert (cluster == hamerly.distances(v, c).argmin(1)).all()
         spared += (~scanned).sum()
     assert spared > 500
+
+
+def test_query_has_the_columns_and_rows_of_its_sql(spark, sf_dir="/root/testdata/sf0.001"):
+    duckdb = pytest.importorskip("duckdb")
+    queries = pytest.importorskip("quarrix.llm.queries")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op12_hamerly_clusters"])
+    found = queries.op12_hamerly_clusters(spark, sf_dir)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
