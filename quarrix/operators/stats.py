@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions import counting
 
 
 def spread(units: DataFrame, id_col: str = "unit_id") -> DataFrame:
@@ -18,18 +18,35 @@ def spread(units: DataFrame, id_col: str = "unit_id") -> DataFrame:
     return units.repartition(id_col)
 
 
+def _whole(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``unit_id, text`` with one row for each id: rows of one id are one unit, and no token reaches over a line's end."""
+    dealt = spread(units.select(F.col(id_col).alias("unit_id"), F.col(text_col).cast("string").alias("text")))
+    return dealt.groupBy("unit_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+
+
+def postings(units: DataFrame, ngram: int = 2, id_col: str = "unit_id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """``unit_id, dl, terms``: a row for each unit with its length and an array of ``(term, tf)``, of the terms in ``only`` alone if given.
+
+    Filters on units belong before this: texts are counted once, and no filter passes that.
+    """
+    held = _whole(units, id_col, text_col).select("unit_id", counting.counts(F.col("text"), ngram, only).alias("c"))
+    return held.select("unit_id", "c.dl", "c.terms")
+
+
 def term_frequencies(units: DataFrame, ngram: int = 2, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
     """``unit_id, term, tf``; units without tokens have no row."""
-    dealt = spread(units.select(F.col(id_col).alias("unit_id"), F.col(text_col).alias("text")))
-    terms = dealt.select("unit_id", F.explode(tokenize(F.col("text"), ngram)).alias("term"))
-    return terms.groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return postings(units, ngram, id_col, text_col).select("unit_id", F.explode("terms").alias("t")).select("unit_id", "t.term", "t.tf")
 
 
 def token_lengths(units: DataFrame, ngram: int = 2, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
     """``unit_id, dl`` as from ``doc_lengths`` of the term frequencies, without a row for each token."""
-    dealt = spread(units.select(F.col(id_col).alias("unit_id"), F.col(text_col).alias("text")))
-    sized = dealt.select("unit_id", F.size(tokenize(F.col("text"), ngram)).cast("long").alias("n"))
-    return sized.groupBy("unit_id").agg(F.sum("n").alias("dl")).where("dl > 0")
+    return _whole(units, id_col, text_col).select("unit_id", counting.lengths(F.col("text"), ngram).alias("dl")).where("dl > 0")
+
+
+def document_frequencies(units: DataFrame, ngram: int = 2, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
+    """``term, df`` as counted from the term frequencies; tasks hand on one row for each term they meet."""
+    parts = _whole(units, id_col, text_col).select(F.col("text").cast("binary")).mapInArrow(counting.holders(ngram), "term string, df long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def duplicate_units(units: DataFrame, id_col: str = "unit_id") -> DataFrame:
@@ -66,6 +83,11 @@ def idf(tf: DataFrame, n_docs: int) -> DataFrame:
     return df.select("term", "df", idf_weight(F.col("df"), n_docs).alias("idf"))
 
 
+def idf_of_units(units: DataFrame, n_docs: int) -> DataFrame:
+    """As ``idf`` of the term frequencies of the units, without a row for each posting."""
+    return document_frequencies(units).select("term", "df", idf_weight(F.col("df"), n_docs).alias("idf"))
+
+
 def idf_or_max(terms: DataFrame, idf_table: DataFrame, n_docs: int) -> DataFrame:
     return terms.join(idf_table.select("term", "idf"), "term", "left").select("term", F.coalesce("idf", F.log(F.lit(1.0 + n_docs))).alias("idf"))
 
