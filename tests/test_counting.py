@@ -1,0 +1,58 @@
+"""Tokens counted in Arrow batches are those of the column expression; what is counted by unit stays where it is."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrix.functions import counting
+from quarrix.functions import text as T
+from quarrix.operators import blockmax, ranking, stats
+
+LETTERS = "aAbBzZ059 _-.\n\t语义搜한カ。、！éİK　\U0001f600"
+ROWS = [(1, "getHTTPUrl2 x_y x"), (1, "x 语义搜索"), (2, ""), (3, None), (None, "a b a"), (4, "Kelvin İstanbul café aB"), (5, "..."), (130, "x 语"), (-1, "义 x")]
+
+
+@pytest.fixture(scope="module")
+def units(spark):
+    return spark.createDataFrame(ROWS, "unit_id long, text string")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_cut_is_that_of_the_expression(spark, n):
+    rng = random.Random(n)
+    texts = ["".join(rng.choices(LETTERS, k=rng.randint(0, 30))) for _ in range(3000)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tokenize(F.col("t"), n).alias("x"), counting.lengths(F.col("t"), n).alias("n"), counting.lengths(F.col("t"), n, True).alias("d")).collect()
+    cut = counting.tokens(n)
+    for r in rows:
+        assert [t.decode() for t in cut(None if r.t is None else r.t.encode())] == r.x
+        assert (r.n, r.d) == (len(r.x), len(set(r.x)))
+
+
+def test_rows_of_one_id_are_one_unit(units):
+    tf = stats.term_frequencies(units)
+    assert {(r.unit_id, r.term): r.tf for r in tf.collect()}[1, "x"] == 3
+    assert sorted(map(tuple, stats.document_frequencies(units).collect())) == sorted((r.term, r.df) for r in stats.idf(tf, 1).collect())
+    assert [(r.unit_id, [tuple(t) for t in r.terms]) for r in stats.postings(units, only=["x", "no"]).where("size(terms) > 0").orderBy("unit_id").collect()] == [(-1, [("x", 1)]), (1, [("x", 3)]), (130, [("x", 1)])]
+
+
+def test_blocks_are_those_of_the_postings_and_no_posting_moves(units):
+    tf, lengths = stats.term_frequencies(units), stats.token_lengths(units)
+
+    def rows(blocks):
+        return sorted((r.term, r.block, round(r.most, 9), sorted(map(tuple, r.posts))) for r in blocks.collect())
+
+    for mean in (3.5, 0.0):
+        assert rows(blockmax.blocks_of_units(units, mean)) == rows(blockmax.block_postings(tf, lengths, mean))
+    assert rows(blockmax.blocks_of_units(units.limit(0), 1.0)) == []
+    plan = blockmax.blocks_of_units(units, 3.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_few_terms_meet_postings_without_a_sort_by_term(units):
+    tf = stats.term_frequencies(units.where("unit_id IS NOT NULL"))
+    idf = stats.idf_of_units(units, 9)
+    few, many = (sorted((r.unit_id, r.bucket, round(r.w, 5)) for r in ranking.hashed_vectors(tf, idf, 16, x).collect()) for x in (True, False))
+    assert few == many
+    plan = ranking.hashed_vectors(tf, idf.localCheckpoint(), 16, True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hash") == 2
