@@ -12,13 +12,14 @@ k-mers in the same order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PLACE_BITS = 25  # the rest of a long is hash; what stands behind the 33 millionth k-mer counts as standing there
 _PLACE = (1 << _PLACE_BITS) - 1
 _HASH_BITS = 63 - _PLACE_BITS
-_NONE = (1 << 63) - 1
 
 
 def _once(value: Column, use) -> Column:
@@ -30,72 +31,78 @@ def _hash(v: Column) -> Column:
     return F.shiftright(v, _PLACE_BITS)
 
 
-def _repeated(repeats: Column, range_bits: int) -> Column:
-    """Of second and later occurrences, sorted by k-mer and place, the two pairs of least hash in each range.
-
-    One pass that numbers the occurrences and holds a range's two best; it adds
-    to its result only where a range ends.
-    """
-    low = _HASH_BITS - range_bits
-    long = lambda x: F.lit(x).cast("long")
-    names = ("last", "times", "best", "second", "out")
+def _sorted(text: Column, k: int) -> Column:
+    """Hashes of the k-mers with their places, ascending: occurrences of one k-mer stand in their order."""
+    # Looks ahead from each code point and passes that one alone.
+    kmers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}|\A.{{1,{k}}}\z))."), F.lit(1))
 
-    def state(*values: Column) -> Column:
-        return F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+    def packed(kmer: Column, place: Column) -> Column:
+        return F.shiftleft(F.xxhash64(kmer).bitwiseAND(F.lit((1 << _HASH_BITS) - 1)), _PLACE_BITS).bitwiseOR(place.cast("long"))
 
-    def add(acc: Column, v: Column) -> Column:
-        h = _hash(v)
+    def of_ascii(raw: Column) -> Column:
+        # A code point is a byte: no k-mer becomes a string.
+        return F.transform(F.sequence(F.lit(0), F.length(raw) - k), lambda i: packed(F.substring(raw, i + 1, F.lit(k)), i))
 
-        def kept(x: Column) -> Column:
-            key, same = x["key"], F.shiftright(v, _PLACE_BITS + low) == F.shiftright(acc["last"], low)
-            within = state(h, x["n"], F.least(acc["best"], key), F.greatest(acc["best"], F.least(acc["second"], key)), acc["out"])
-            return F.when(same, within).otherwise(state(h, x["n"], key, long(_NONE), F.concat(acc["out"], F.array(acc["best"], acc["second"]))))
+    n = F.char_length(text)
+    plain = (n == F.octet_length(text)) & (n >= k) & (n <= _PLACE)
+    hashed = F.when(plain, _once(text.cast("binary"), of_ascii)).when(n <= _PLACE, F.transform(kmers, packed))
+    return F.sort_array(hashed.otherwise(F.transform(kmers, lambda x, i: packed(x, F.least(i, F.lit(_PLACE))))))
 
-        # With what came before: the second occurrence has the number 1.
-        n = F.when(h == acc["last"], acc["times"] + 1).otherwise(long(1))
-        mask = ((1 << low) - 1) << _PLACE_BITS
-        key = v.bitwiseAND(long(~mask)).bitwiseOR(F.shiftleft(F.xxhash64(h, n), _PLACE_BITS).bitwiseAND(long(mask)))
-        return _once(F.struct(n.alias("n"), key.alias("key")), kept)
 
-    start = state(long(-1), long(0), long(_NONE), long(_NONE), F.array().cast("array<long>"))
-    done = F.aggregate(repeats, start, add, lambda acc: F.concat(acc["out"], F.array(acc["best"], acc["second"])))
-    return F.filter(done, lambda v: v != long(_NONE))
+def _steps(text: Column, k: int, range_bits: int) -> list[tuple[str, Callable[[Callable[[str], Column]], Column]]]:
+    """Names and columns, each made of those before it; the last one is the signature."""
+    low, enough = 63 - range_bits, 20 << range_bits
+    mask, place = (1 << low) - 1 - _PLACE, F.lit(_PLACE)
 
+    def number(v: Column) -> Column:
+        return F.shiftright(v, low)
 
-def signatures(text: Column, k: int = 12, range_bits: int = 5) -> Column:
-    """``array<long>``: for each range that holds a k-mer its number (upper 32 bits) and the tuple's hash (lower 32 bits)."""
-    # Looks ahead from each code point and passes that one alone.
-    kmers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}|\A.{{1,{k}}}\z))."), F.lit(1))
-    mask, low, enough = (1 << _HASH_BITS) - 1, 63 - range_bits, 20 << range_bits
+    def before(s: Column) -> Column:
+        # What stands before each hash; before the first one, something unlike it.
+        return F.concat(F.transform(F.slice(s, 1, 1), lambda v: v.bitwiseXOR(F.lit(1 << 62))), s)
 
-    def packed(place) -> Column:
-        return F.transform(kmers, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(mask)), _PLACE_BITS).bitwiseOR(place(i).cast("long")))
+    def repeat(s: Column, v: Column, i: Column) -> Column:
+        return F.get(s, i).bitwiseXOR(v) <= place
 
-    def number(v: Column) -> Column:
-        return F.shiftright(v, low)
+    def is_low(c, v: Column) -> Column:
+        return v.bitwiseAND(F.lit((1 << low) - 1)) < c("limit")
 
     def least(s: Column) -> Column:
         return F.filter(s, lambda v, i: (i < 2) | (F.get(s, i - 2).bitwiseXOR(v) >= F.lit(1 << low)))
 
-    # Sorted by hash, then place: occurrences of one k-mer stand in their order.  A first occurrence has the hash of its k-mer.
-    def selected(s: Column) -> Column:
-        later = F.filter(s, lambda v, i: F.get(s, i - 1).bitwiseXOR(v) <= F.lit(_PLACE))
-        return _once(later, lambda x: _once(of_firsts(s, F.size(x) > 0), lambda found: F.when(F.size(x) == 0, found).otherwise(_once(F.sort_array(F.concat(found, _repeated(x, range_bits))), least))))
+    def limit(c) -> Column:
+        n = F.size(c("hashes"))
+        return F.when(n <= enough, F.lit(1 << low)).otherwise(F.floor(F.lit(1 << low) / n) * enough)
 
-    def firsts(s: Column) -> Column:
-        return F.filter(s, lambda v, i: (i == 0) | (F.get(s, i - 1).bitwiseXOR(v) > F.lit(_PLACE)))
+    def kept(c) -> Column:
+        return F.when(F.size(c("hashes")) <= enough, c("hashes")).otherwise(F.filter(c("hashes"), lambda v, i: is_low(c, v) | repeat(c("before"), v, i)))
 
-    def of_firsts(s: Column, repeated: Column) -> Column:
-        # Of a long text only hashes low in their range are looked at; where that leaves a range under two, all are.
-        limit = F.floor(F.lit(1 << low) / F.size(s)) * enough
-        few = F.when(F.size(s) <= enough, s).otherwise(_once(limit, lambda t: F.filter(s, lambda v: v.bitwiseAND(F.lit((1 << low) - 1)) < t)))
-        found = _once(few, lambda x: _once(F.when(repeated, firsts(x)).otherwise(x), least))
-        return _once(found, lambda x: F.when((F.size(s) <= enough) | (F.size(x) == 2 << range_bits), x).otherwise(_once(firsts(s), least)))
+    def few(c) -> Column:
+        return F.when(F.size(c("later")) == 0, c("kept")).otherwise(F.filter(c("kept"), lambda v, i: is_low(c, v) & ~repeat(c("kept_before"), v, i)))
+
+    def firsts(c) -> Column:
+        whole = (F.size(c("hashes")) <= enough) | (F.size(c("least")) == 2 << range_bits)
+        return F.when(whole, c("least")).otherwise(F.filter(c("hashes"), lambda v, i: ~repeat(c("before"), v, i)))
+
+    def begins(c) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(c("later")) - 1), lambda i: (i == 0) | (F.get(c("later"), i - 1).bitwiseXOR(F.get(c("later"), i)) > place))
+        return F.when(F.size(c("later")) > 0, at).otherwise(F.array().cast("array<int>"))
+
+    def pairs(c) -> Column:
+        # The k-mer's range, a hash of k-mer and number, the place; by what came before, the second occurrence has the number 1.
+        def key(v: Column, i: Column) -> Column:
+            return v.bitwiseAND(F.lit((1 << 63) - 1 - mask)).bitwiseOR(F.shiftleft(F.xxhash64(_hash(v), (i + 1).cast("long")), _PLACE_BITS).bitwiseAND(F.lit(mask)))
+
+        later, at = c("later"), c("begins")
+        keys = F.flatten(F.transform(at, lambda i, j: F.transform(F.slice(later, i + 1, F.coalesce(F.get(at, j + 1), F.size(later)) - i), key)))
+        return F.sort_array(F.concat(c("found"), keys))
+
+    def tuples(c) -> Column:
+        s = c("best")
 
-    def tuples(s: Column) -> Column:
         def one(v: Column, i: Column) -> Column:
             w = F.get(s, i + 1)
-            a, b, place = _hash(v), _hash(w), F.lit(_PLACE)
+            a, b = _hash(v), _hash(w)
             pair = F.when(v.bitwiseAND(place) <= w.bitwiseAND(place), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
             hashed = F.when(w.isNull() | (number(w) != number(v)), F.xxhash64(a)).otherwise(pair)
             first = (i == 0) | (number(F.get(s, i - 1)) != number(v))
@@ -103,8 +110,46 @@ def signatures(text: Column, k: int = 12, range_bits: int = 5) -> Column:
 
         return F.filter(F.transform(s, one), lambda x: x.isNotNull())
 
-    hashed = F.when(F.char_length(text) <= _PLACE, packed(lambda i: i)).otherwise(packed(lambda i: F.least(i, F.lit(_PLACE))))
-    return _once(_once(F.sort_array(hashed), selected), tuples)
+    return [
+        ("hashes", lambda c: _sorted(text, k)),
+        # Of a long text only first occurrences whose hashes are low in their range are looked at; where that leaves a range under two, all are.
+        # A first occurrence has the hash of its k-mer, so the repeats of a low one stand beside it in what is kept.
+        ("before", lambda c: before(c("hashes"))),
+        ("limit", limit),
+        ("kept", kept),
+        ("kept_before", lambda c: before(c("kept"))),
+        ("later", lambda c: F.filter(c("kept"), lambda v, i: ~is_low(c, v) | repeat(c("kept_before"), v, i))),
+        ("few", few),
+        ("least", lambda c: least(c("few"))),
+        ("firsts", firsts),
+        ("found", lambda c: least(c("firsts"))),
+        ("begins", begins),
+        ("pairs", pairs),
+        ("best", lambda c: least(c("pairs"))),
+        ("tuples", tuples),
+    ]
+
+
+def signatures(text: Column, k: int = 12, range_bits: int = 5) -> Column:
+    """``array<long>``: for each range that holds a k-mer its number (upper 32 bits) and the tuple's hash (lower 32 bits)."""
+    (first, _), *steps = _steps(text, k, range_bits)
+    state, names = F.struct(_sorted(text, k).alias(first)), [first]
+
+    def add(name: str, step) -> Column:
+        return _once(state, lambda s: F.struct(*[s[n].alias(n) for n in names], step(lambda n: s[n]).alias(name)))
+
+    for name, step in steps:
+        # A step is an argument of the next one, not a part of its lambda: the plan stays flat.
+        state, names = add(name, step), [*names, name]
+    return state["tuples"]
+
+
+def with_signatures(rows: DataFrame, text_col: str, name: str, k: int = 12, range_bits: int = 5) -> DataFrame:
+    """The rows and a column ``name`` as from ``signatures``; each step is a column, so that hashes are sorted as numbers, not as objects of a lambda."""
+    steps = _steps(F.col(text_col), k, range_bits)
+    for own, step in steps:
+        rows = rows.withColumn(f"__{own}", step(lambda n: F.col(f"__{n}")))
+    return rows.withColumnRenamed("__tuples", name).drop(*(f"__{own}" for own, _ in steps))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -117,8 +162,8 @@ def to_string(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lower(F.hex(x))), "-")
 
 
-def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None) -> DataFrame:
-    """``doc_id, text, next_text`` and the columns of ``extra`` for both texts (``next_`` before the name).
+def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``doc_id, text, next_text`` and the columns that ``extra`` adds, for both texts (``next_`` before the name).
 
     The next text is the one that follows in descending order of id; the first
     follows the last.  Ids are cut into buckets at quantiles; each bucket is
@@ -134,10 +179,10 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
     # Number of bounds at or above the id: 0 holds the greatest ids; null ids follow all.
     bucket = F.coalesce(F.size(F.filter(bounds, lambda m: F.col("doc_id") <= m)), F.lit(0))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(marks) + 1)).otherwise(bucket).alias("bucket")
-    names = ["text", *(extra or {})]
-    more = [column.alias(name) for name, column in (extra or {}).items()]
     bare = texts.select("doc_id", "text", bucket)
-    placed = bare.select("*", *more)
+    extra = extra or (lambda rows: rows)
+    placed = extra(bare)
+    names = ["text", *placed.columns[3:]]
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
     inside = placed.select("*", F.lead(F.struct(*names)).over(w).alias("lead"))
     # A row for each bucket from here on: as many as there are bounds and two.
@@ -147,7 +192,7 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
     wanted = F.broadcast(heads.join(ahead.select(F.col("bucket").alias("for_bucket"), "at"), "at").drop("at"))
     begins = bare.join(wanted, (F.col("bucket") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     # The extra columns of these few rows are computed after they are found.
-    begins = begins.groupBy("for_bucket").agg(F.min("text").alias("text")).select("for_bucket", F.struct("text", *more).alias("begin"))
+    begins = extra(begins.groupBy("for_bucket").agg(F.min("text").alias("text"))).select("for_bucket", F.struct(*names).alias("begin"))
     # The least row of each bucket has no lead and takes the beginning of the next bucket.
     joined = inside.join(begins, (F.col("bucket") == F.col("for_bucket")) & F.col("lead").isNull(), "left")
     chosen = joined.select("doc_id", *names, F.coalesce("lead", "begin").alias("next"))
@@ -163,18 +208,10 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = 12, range_bits: int = 5, **how) -> DataFrame:
     """One row for each document; see ``with_next`` for the order and for nulls, ``likeness`` for empty texts."""
-    own = signatures(F.col("text"), k, range_bits)
-    pairs = with_next(docs, extra={"own": own}, **how)
-    pairs = pairs.select("*", edited(F.col("text"), F.col("next_text")).alias("edit"))
-    signed = pairs.select(
-        "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
-        "own",
-        "next_own",
-        signatures(F.col("edit"), k, range_bits).alias("edit_sig"),
-    )
+    pairs = with_next(docs, extra=lambda rows: with_signatures(rows, "text", "own", k, range_bits), **how)
+    edits = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "own", "next_own", edited(F.col("text"), F.col("next_text")).alias("edit"))
+    signed = with_signatures(edits, "edit", "edit_sig", k, range_bits)
     return signed.select(
-        "doc_id", "n_chars", "edited_sha256", to_string(F.col("own")).alias("fingerprint"), to_string(F.col("edit_sig")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), to_string(F.col("own")).alias("fingerprint"), to_string(F.col("edit_sig")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit_sig")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

@@ -1,0 +1,23 @@
+"""The steps of a fingerprint as columns give what they give as one expression, and hashes are not sorted inside a lambda."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("quarrix.llm")
+from quarrix.llm import order_minhash  # noqa: E402
+
+
+def test_steps_are_columns(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "x" * 11, "x" * 12, "é" * 12, "ab" * 900, "".join(rng.choices("abc é語😀\n", k=3000)), "".join(rng.choices("abcdefgh ", k=2500)) * 3]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    done = order_minhash.with_signatures(rows, "t", "own")
+    assert done.columns == ["t", "own"]
+    one = rows.select("t", order_minhash.signatures(F.col("t")).alias("s")).collect()
+    assert {r.t: sorted(r.own) for r in done.collect()} == {r.t: sorted(r.s) for r in one}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Project \[[^\n]*\bsort_array\(CASE WHEN[^\n]* AS __hashes", plan)
+    assert not re.search(r"transform\(array\(sort_array", plan)
